@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from strandspark.llm import topk
 from strandspark.llm.media import op7_media
+from strandspark.llm.mixing import op4_mixing
 from strandspark.llm.packing import op9_packing
 
-QUERIES = {"op7_media": op7_media, "op9_packing": op9_packing}
-SQL: dict[str, str] = {}
+QUERIES = {"op1_topk": topk.op1_topk, "op4_mixing": op4_mixing, "op7_media": op7_media, "op9_packing": op9_packing}
+SQL: dict[str, str] = {"op1_topk": topk.SQL}
