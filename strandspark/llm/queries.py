@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from strandspark.llm import topk
+from strandspark.llm.lines import op6_lines
 from strandspark.llm.media import op7_media
 from strandspark.llm.mixing import op4_mixing
 from strandspark.llm.packing import op9_packing
 from strandspark.llm.toxicity import op8_toxicity
 
-QUERIES = {"op1_topk": topk.op1_topk, "op4_mixing": op4_mixing, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing}
+QUERIES = {"op1_topk": topk.op1_topk, "op4_mixing": op4_mixing, "op6_lines": op6_lines, "op7_media": op7_media, "op8_toxicity": op8_toxicity, "op9_packing": op9_packing}
 SQL: dict[str, str] = {"op1_topk": topk.SQL}
