@@ -29,12 +29,15 @@ from pyspark.sql import functions as F
 from strandspark.llm.common import read_table, stored
 
 TOKENIZER, CAPACITY, END_ID = "word_bpe_49k.json", 4096, 1
-#: Chunks of text whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
-_cache: dict[str, dict[str, bytes]] = {}
-_loaded: dict[str, object] = {}
+#: Words whose ids a worker remembers; beyond, it starts anew.
+REMEMBERED = 1_200_000
+_caches: dict[str, dict[str, bytes]] = {}
+_loaded: dict[str, tuple] = {}
 #: White space for Python, but not for the tokenizer, or the other way round: such texts are encoded whole.
 _ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]")
+#: In text of these characters alone, this is how the tokenizer cuts words after lower-casing.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ \\n\\t\\r]*")
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 
 
 def tokenizer_path(name: str) -> str:
@@ -43,38 +46,65 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> tuple:
+    """The tokenizer, and which ids end a word."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path)
+        made = Tokenizer.from_file(path)
+        ends = np.zeros(made.get_vocab_size(with_added_tokens=True), bool)
+        for word, i in made.get_vocab(with_added_tokens=False).items():
+            ends[i] = word.endswith("</w>")
+        _loaded[path] = made, ends
     return _loaded[path]
 
 
 def encode(texts: list[str | None], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers. The vocabulary's words never cross white
-    space, so chunks between white space are encoded once each and remembered."""
-    known, tokenizer = _cache.setdefault(path, {}), _tokenizer(path)
-    out: list[bytes] = []
+    """Each text's ids as little-endian unsigned 32-bit numbers. Words are encoded once each and remembered;
+    texts of other than plain characters go by the chunks between white space, which no word crosses."""
+    known = _caches.setdefault(path, {})
+    if len(known) > REMEMBERED:
+        known.clear()
+    tokenizer, ends = _tokenizer(path)
+    whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    plain = lambda text: _PLAIN.fullmatch(text) and "<|" not in text
+    split: list[list[str]] = []
+    new: set[str] = set()
     for text in texts:
         if not text:
-            out.append(b"")
-            continue
-        if _ODD.search(text):
-            out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            continue
-        chunks = text.split()
-        try:
-            out.append(b"".join(map(known.__getitem__, chunks)))
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = list({c for c in chunks if c not in known})
-            for c, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(known.__getitem__, chunks)))
-    return out
+            split.append([])
+        elif plain(text):
+            found = _WORDS.findall(text.lower())
+            split.append(found)
+            new.update(found)
+        elif _ODD.search(text):
+            known[text] = whole(text)
+            split.append([text])
+        else:
+            found = []
+            for chunk in text.split():
+                if plain(chunk):
+                    cut = _WORDS.findall(chunk.lower())
+                    new.update(cut)
+                    found += cut
+                else:
+                    if chunk not in known:
+                        known[chunk] = whole(chunk)
+                    found.append(chunk)
+            split.append(found)
+    todo = [w for w in new if w not in known]
+    for at in range(0, len(todo), 5000):
+        part = todo[at : at + 5000]
+        ids = np.array(tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        last = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+        if len(last) != len(part):
+            raise ValueError("the tokenizer's words are not as expected")
+        raw, i = ids.tobytes(), 0
+        for w, j in zip(part, last, strict=True):
+            known[w] = raw[i:j]
+            i = j
+    return [b"".join([known[w] for w in ws]) for ws in split]
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], name: str, capacity: int, end: int) -> Iterator[pa.RecordBatch]:
