@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import blocks, byte_view, mix, prefix_hash, read_table, span_hash, words
+from strandspark.llm.common import blocks, mix, prefix_hash, read_table, span_hash, words
 
 BITS, CHAIN, THRESHOLD = 18, 64, 0.7
 BEGINNINGS = (4, 5, 6)
-MAX_TOXIC, MAX_CLEAN, MAX_FIT_BYTES = 2000, 4000, 20_000
+MAX_TOXIC, MAX_CLEAN, MAX_FIT_BYTES = 1500, 2500, 20_000
 #: A pick explains at least this share of toxic documents (and three of them), and of documents that hold it this share is toxic.
 #: CHANCE: natural logarithm of one over the probability of any chance pick.
 LEAST_SHARE, LEAST_PRECISION, CHANCE = 0.002, 0.85, 0.0
@@ -119,8 +119,9 @@ def largest_marginals(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def pick(x: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Columns that, taken greedily, explain toxic documents."""
-    cols = x.shape[1]
-    pairs = np.unique(np.stack([x.ravel(), np.repeat(doc, cols)], 1).astype(np.int64) @ np.array([1 << 32, 1]))
+    pairs = np.concatenate([np.unique((x[:, k].astype(np.int64) << 32) + doc) for k in range(x.shape[1])])
+    pairs.sort()
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if len(pairs) else pairs
     column, of = pairs >> 32, pairs & 0xFFFFFFFF
     all_toxic = np.bincount(column[toxic[of]], minlength=1 << BITS)
     all_clean = np.bincount(column[~toxic[of]], minlength=1 << BITS)
@@ -150,7 +151,12 @@ def pick(x: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], toxic: np.ndarray) -> Field | None:
     if not len(texts) or toxic.all() or not toxic.any():
         return None
-    x, _, _, first = features(*byte_view(pa.array(texts, pa.string())))
+    parts, counts = [], []
+    for _, body, offsets in blocks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])], "text", 1 << 20):
+        part, _, _, begin = features(body, offsets)
+        parts.append(part)
+        counts.append(np.diff(begin))
+    x, first = np.concatenate(parts), np.append(0, np.cumsum(np.concatenate(counts)))
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     picked = np.zeros(1 << BITS, bool)
     picked[pick(x, doc, toxic)] = True
@@ -188,7 +194,11 @@ def fit(texts: list[str], toxic: np.ndarray) -> Field | None:
         field.bias += RATE * slopes[1] / np.sqrt(past[1])
         field.trans = field.trans + RATE * slopes[2] / np.sqrt(past[2])
         field.start = field.start + RATE * slopes[3] / np.sqrt(past[3])
-    top = largest_marginals(field.marginals(x, first), first)
+    top = np.zeros(len(texts))
+    for i in range(0, len(texts), 500):
+        j = min(len(texts), i + 500)
+        part = first[i : j + 1] - first[i]
+        top[i:j] = largest_marginals(field.marginals(x[first[i] : first[j]], part), part)
     odds = np.log(np.clip(top, 1e-9, 1 - 1e-9) / np.clip(1 - top, 1e-9, 1))
     design, theta = np.stack([odds, np.ones_like(odds)], 1), np.array([1.0, 0.0])
     weight = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum()) * len(toxic)
