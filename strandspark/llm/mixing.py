@@ -42,7 +42,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = offsets[:-1][np.diff(offsets) > 0]
         begins[first] = inside[first]
         total = np.append(0, np.cumsum(begins))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("source"), pa.array(total[offsets[1:]] - total[offsets[:-1]])], names=["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "doc_id", "source")), pa.array(total[offsets[1:]] - total[offsets[:-1]])], names=["id", "doc_id", "source", "size"])
 
 
 def targets(sizes: dict[str | None, int], schedules=SCHEDULES, budget: float = BUDGET, most: float = MOST) -> dict[str | None, tuple[float, float, float]]:
@@ -70,11 +70,10 @@ def _position(c: Column) -> Column:
     return F.abs(F.when(a == b, share / a).otherwise((F.sqrt(F.greatest(a * a + 2 * (b - a) * share, F.lit(0.0))) - a) / (b - a)))
 
 
-def mix_sources(docs: DataFrame, schedules=SCHEDULES, budget: float = BUDGET, most: int = MOST) -> DataFrame:
-    """One row per row of docs (doc_id, source, text), range-sorted by position: what the mix takes of it.
-    positions: where each reading of the document starts in training time."""
-    spark = docs.sparkSession
-    sized = stored(docs.select("doc_id", "source", "text").mapInArrow(_sizes, "doc_id long, source string, size long"), "sizes")
+def _placed(sized: DataFrame, schedules, budget: float, most: int) -> DataFrame:
+    """sized (id, doc_id, source, size) with source_size, target, taken and positions: where each reading of the
+    document starts in training time."""
+    spark = sized.sparkSession
     per_source = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     goal = targets({r.source: r["size"] for r in per_source}, schedules, budget, most)
     buckets = min(MAX_BUCKETS, max(1, math.ceil(sum(r.n for r in per_source) / GROUP_ROWS)))
@@ -84,18 +83,35 @@ def mix_sources(docs: DataFrame, schedules=SCHEDULES, budget: float = BUDGET, mo
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("before"))
-    inner = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size", "id").rowsBetween(Window.unboundedPreceding, -1)
     local = keyed.withColumn("start", F.coalesce(F.sum("size").over(inner), F.lit(0))).withColumnRenamed("source", "s").withColumnRenamed("bucket", "b")
     # the offsets have one row per group; null sources meet by the null-safe comparison
-    placed = local.join(offsets, F.col("s").eqNullSafe(F.col("source")) & (F.col("b") == F.col("bucket"))).select("doc_id", "source", "size", (F.col("before") + F.col("start")).alias("start"))
+    placed = local.join(offsets, F.col("s").eqNullSafe(F.col("source")) & (F.col("b") == F.col("bucket"))).select("id", "doc_id", "source", "size", (F.col("before") + F.col("start")).alias("start"))
     small = F.broadcast(table) if len(rows) <= 10_000 else table
     known = placed.withColumnRenamed("source", "s").join(small, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     whole = F.round("target").cast("long")
     part = lambda k: F.greatest(F.lit(0), F.least(F.col("size"), whole - (F.lit(k) * F.col("source_size") + F.col("start"))))
     reads = F.array(*(F.when(F.lit(k) * F.col("source_size") + F.col("start") < whole, _position(F.lit(k) * F.col("source_size") + F.col("start"))) for k in range(most)))
-    out = known.select("doc_id", "source", "size", "source_size", "target", sum((part(k) for k in range(1, most)), part(0)).cast("long").alias("taken"), F.filter(reads, lambda x: x.isNotNull()).alias("positions"))
+    return known.select("id", "doc_id", "source", "size", "source_size", "target", sum((part(k) for k in range(1, most)), part(0)).cast("long").alias("taken"), F.filter(reads, lambda x: x.isNotNull()).alias("positions"))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    rows = docs.select(F.monotonically_increasing_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    return stored(rows.mapInArrow(_sizes, "id long, doc_id long, source string, size long"), "sizes")
+
+
+def mix_sources(docs: DataFrame, schedules=SCHEDULES, budget: float = BUDGET, most: int = MOST) -> DataFrame:
+    """One row per row of docs (doc_id, source, text), range-sorted by position: what the mix takes of it."""
+    out = _placed(_sized(docs), schedules, budget, most).drop("id")
     return out.orderBy(F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0)), "doc_id")
 
 
+def take_mix(docs: DataFrame, schedules=SCHEDULES, budget: float = BUDGET, most: int = MOST) -> DataFrame:
+    """docs, all columns, once for each reading that the mix begins, range-sorted by training position."""
+    placed = stored(_placed(_sized(docs), schedules, budget, most).select(F.col("id").alias("__id"), F.explode("positions").alias("__position")), "positions")
+    rows = docs.withColumn("__id", F.monotonically_increasing_id()).join(placed, "__id")
+    return rows.orderBy("__position").select(*docs.columns)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"))
