@@ -13,9 +13,10 @@ from strandspark.llm.common import drop_stored, stored
 def bucket_links(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Verified links (a, b) between members (bucket, id) of the same bucket, b the smaller id.
 
-    Each round takes a bucket's smallest id as its leader and verifies every other member against it.
-    Members that are linked to their leader leave the bucket with it, the rest choose a leader again, until
-    every bucket is done; so no bucket makes pairs of all its members, however large, and none is cut short.
+    Each round deals a bucket's members into 1, 8, 64, ... parts by a hash; each part's smallest id is a leader, and
+    every member is verified against its bucket's leaders. Leaders are done then, and so is a member that is linked to one; the
+    rest goes on until every bucket is done. So a bucket of similar members costs one comparison each, one of
+    dissimilar members takes few rounds, and none is cut short, however large.
     prepare: takes the ids that share a bucket with another and returns a function from distinct pairs (a, b)
     to those that hold, with any further columns."""
     found: DataFrame | None = None
@@ -24,17 +25,22 @@ def bucket_links(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
     rest = stored(every.join(shared, "bucket"), "members")
     drop_stored(every)
     verify = prepare(rest.select("id").distinct())
+    parts = 1
     while True:
-        leaders = rest.groupBy("bucket").agg(F.min("id").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        dealt = rest.groupBy("bucket", F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(parts)).alias("part")).agg(F.min("id").alias("leader"))
+        leaders = stored(dealt.select("bucket", "leader"), "leaders")
         asked = stored(rest.join(leaders, "bucket").filter("id <> leader"), "asked")
         if asked.isEmpty():
             break
-        links = stored(verify(asked.select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()), "links")
+        pair = (F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"))
+        links = stored(verify(asked.select(*pair).distinct()), "links")
         found = links if found is None else found.unionByName(links)
-        held = links.select(F.col("a").alias("id"), F.col("b").alias("leader"))
-        drop, rest = rest, stored(asked.join(held, ["id", "leader"], "left_anti").select("bucket", "id"), "members")
-        drop_stored(drop)
-        drop_stored(asked)
+        held = asked.select("bucket", "id", *pair).join(links.select("a", "b"), ["a", "b"]).select("bucket", "id")
+        done = held.unionByName(leaders.select("bucket", F.col("leader").alias("id"))).distinct()
+        left = stored(rest.join(done, ["bucket", "id"], "left_anti"), "members")
+        for drop in (rest, asked, leaders):
+            drop_stored(drop)
+        rest, parts = left, parts * 8
     if found is None:
         found = verify(rest.select(F.col("id").alias("a"), F.col("id").alias("b")).filter("a < b"))
     return stored(found.dropDuplicates(["a", "b"]), "found")
