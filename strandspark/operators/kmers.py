@@ -27,9 +27,9 @@ def kmer_universe(spark: SparkSession, k: int, alphabet: Alphabet = DNA) -> Data
 def windows(df: DataFrame, k: int, alphabet: Alphabet = DNA, seq: str = "seq", keep: list[str] | None = None) -> DataFrame:
     """One row per k-letter window of known letters: kept columns and kmer."""
     keep = keep or []
-    at = F.explode(F.when(F.length(seq) >= k, F.sequence(F.lit(1), F.length(seq) - k + 1))).alias("at")
-    cut = df.select(*keep, F.col(seq).alias("__seq"), at).select(*keep, F.expr(f"substring(__seq, at, {k})").alias("kmer"))
-    return cut.filter(alphabet.is_valid(F.col("kmer")))
+    # a look-ahead finds overlapping windows in one pass, also over long sequences
+    letters = "".join(rf"\x{{{ord(x):x}}}" for x in alphabet.order)
+    return df.select(*keep, F.explode(F.regexp_extract_all(F.col(seq), F.lit(f"(?=([{letters}]{{{k}}}))"), F.lit(1))).alias("kmer"))
 
 
 def kmer_list(seq: Column, k: int) -> Column:
