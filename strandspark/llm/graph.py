@@ -10,21 +10,26 @@ from pyspark.sql import functions as F
 from strandspark.llm.common import drop_stored, stored
 
 
-def bucket_links(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Verified links (a, b) between members (bucket, id) of the same bucket, b the smaller id.
+#: Members of a bucket that all meet each other; the rest of a larger bucket is split by further features first.
+SMALL = 8
 
-    Each round deals a bucket's members into 1, 8, 64, ... parts by a hash; each part's smallest id is a leader, and
-    every member is verified against its bucket's leaders. Leaders are done then, and so is a member that is linked to one; the
-    rest goes on until every bucket is done. So a bucket of similar members costs one comparison each, one of
-    dissimilar members takes few rounds, and none is cut short, however large.
-    prepare: takes the ids that share a bucket with another and returns a function from distinct pairs (a, b)
-    to those that hold, with any further columns."""
-    found: DataFrame | None = None
-    every = stored(members.select("bucket", "id").distinct(), "members")
+
+def bucket_links(members: DataFrame, features: DataFrame, own: int, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Verified links (a, b), b the smaller id, between members (bucket, band, id) of the same bucket.
+
+    First every member is verified against its bucket's smallest id; members that are linked to it leave the bucket with it.
+    What remains in a bucket of more than SMALL members is dissimilar to its leader and shares, say, a common passage: it goes
+    on in finer buckets, one for each feature (id, f: array) that isn't of the bucket's own band (`own` features make a
+    band), as similar members share many. Then, in rounds, buckets are dealt into 8, 64, ... parts whose smallest ids are leaders,
+    until every bucket is done. So no bucket makes all its pairs at once, and none is cut short, however large.
+
+    prepare: takes the ids that share a bucket with another and returns a function from distinct pairs (a, b) to those that hold."""
+    every = stored(members.select("bucket", "band", "id").distinct(), "members")
     shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     rest = stored(every.join(shared, "bucket"), "members")
     drop_stored(every)
     verify = prepare(rest.select("id").distinct())
+    found: DataFrame | None = None
     parts = 1
     while True:
         dealt = rest.groupBy("bucket", F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(parts)).alias("part")).agg(F.min("id").alias("leader"))
@@ -33,11 +38,19 @@ def bucket_links(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
         if asked.isEmpty():
             break
         pair = (F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"))
-        links = stored(verify(asked.select(*pair).distinct()), "links")
+        pairs = asked.select(*pair).distinct()
+        if found is not None:  # known to hold, or tested before in another bucket
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        links = stored(verify(pairs), "links")
         found = links if found is None else found.unionByName(links)
-        held = asked.select("bucket", "id", *pair).join(links.select("a", "b"), ["a", "b"]).select("bucket", "id")
+        tested = pairs if parts == 1 else tested.unionByName(pairs)
+        held = asked.select("bucket", "id", *pair).join(found.select("a", "b"), ["a", "b"]).select("bucket", "id")
         done = held.unionByName(leaders.select("bucket", F.col("leader").alias("id"))).distinct()
-        left = stored(rest.join(done, ["bucket", "id"], "left_anti"), "members")
+        left = rest.join(done, ["bucket", "id"], "left_anti")
+        if parts == 1:
+            left = _finer(stored(left, "rest"), features, own)
+        left = stored(left, "members")
         for drop in (rest, asked, leaders):
             drop_stored(drop)
         rest, parts = left, parts * 8
@@ -46,6 +59,16 @@ def bucket_links(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
     return stored(found.dropDuplicates(["a", "b"]), "found")
 
 
+def _finer(rest: DataFrame, features: DataFrame, own: int) -> DataFrame:
+    size = rest.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    sized = rest.join(size, "bucket")
+    large = sized.filter(F.col("n") > SMALL).join(features, "id").select("id", "bucket", "band", F.posexplode("f").alias("at", "value"))
+    split = large.filter(F.floor(F.col("at") / own) != F.col("band")).select(F.xxhash64("bucket", "at", "value").alias("bucket"), "band", "id")
+    split = stored(split, "split")
+    again = split.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    return sized.filter(F.col("n") <= SMALL).select("bucket", "band", "id").unionByName(split.join(again, "bucket"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for every id in links (a, b): the smallest id that it is connected to.
 

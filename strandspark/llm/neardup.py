@@ -92,14 +92,18 @@ def _within(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray, band: in
     diagonals -band .. band of all pairs together."""
     pairs, width = len(a), 2 * band + 1
     n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    pad = np.zeros((pairs, max(1, int(n.max(initial=0)))), np.uint64)
-    other = np.full((pairs, int(m.max(initial=0)) + 2 * band + 2 + pad.shape[1]), np.uint64(1))  # 1 stands for nothing
+    longest = int(max(n.max(initial=0), m.max(initial=0)))
+    kind = np.int16 if longest + 4 * band < 1 << 13 else np.int32
+    pad = np.zeros((pairs, max(1, int(n.max(initial=0)))), np.uint32)
+    other = np.full((pairs, int(m.max(initial=0)) + 2 * band + 2 + pad.shape[1]), np.uint32(1))  # 1 stands for nothing
+    # words as numbers of their own pair: exact, and half the size of their hashes
     for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        pad[i, : len(x)] = x | np.uint64(2)
-        other[i, band + 1 : band + 1 + len(y)] = y | np.uint64(2)
-    far, shift = np.int32(1 << 28), np.arange(width, dtype=np.int32)
+        codes = np.unique(np.concatenate([x, y]), return_inverse=True)[1].astype(np.uint32) + np.uint32(2)
+        pad[i, : len(x)] = codes[: len(x)]
+        other[i, band + 1 : band + 1 + len(y)] = codes[len(x) :]
+    far, shift = kind(1 << 14 if kind is np.int16 else 1 << 28), np.arange(width, dtype=kind)
     column = shift - band  # at row 0: j = column
-    row = np.where((column >= 0) & (column[None, :] <= m[:, None]), column, far).astype(np.int32)
+    row = np.where((column >= 0) & (column[None, :] <= m[:, None]), column, far).astype(kind)
     result = np.full(pairs, band + 1, np.int64)
     end = m - n + band
     inside = (end >= 0) & (end < width)
@@ -108,12 +112,12 @@ def _within(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray, band: in
     for i in range(1, pad.shape[1] + 1):
         window = other[:, i : i + width]  # b[j - 1] for j = i + column
         new = row + (window != pad[:, i - 1 : i])
-        new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+        np.minimum(new[:, :-1], row[:, 1:] + kind(1), out=new[:, :-1])
         j = i + column
         new[:, j < 0] = far
         new = np.minimum.accumulate(new - shift, axis=1) + shift
         new[:, j < 0] = far
-        row = np.minimum(new, far).astype(np.int32)
+        row = np.minimum(new, far).astype(kind, copy=False)
         done = inside & (n == i)
         if done.any():
             result[done] = row[done, end[done]]
@@ -200,15 +204,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
     placed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     every = stored(placed.mapInArrow(_sketch, "row long, doc_id long, x long, y long, n_words long, buckets array<long>"), "sketches")
     texts = every.groupBy("x", "y").agg(F.min("row").alias("row"))  # one row for each different text
-    alone = every.filter("n_words > 0").select("row", "buckets").join(texts.select("row"), "row")
-    members = alone.select(F.explode("buckets").alias("bucket"), F.col("row").alias("id"))
+    alone = every.filter("n_words > 0").select("row", "buckets").join(texts.select("row"), "row").select(F.col("row").alias("id"), F.col("buckets").alias("f"))
+    members = alone.select("id", F.posexplode("f").alias("band", "bucket"))
 
     def prepare(ids: DataFrame):
         known = stored(placed.select(F.col("row").alias("id"), "text").join(ids, "id"), "texts")
         left, right = (known.select(F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("a", "ta"), ("b", "tb")))
         return lambda pairs: pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_align, "a long, b long")
 
-    links = bucket_links(members, prepare)
+    links = bucket_links(members, alone, 1, prepare)
     ends = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("links"))
     of = components(links).select(F.col("id").alias("row"), "component")
     named = texts.join(of, "row", "left").join(ends, "row", "left").select("x", "y", F.coalesce("component", "row").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
