@@ -24,10 +24,9 @@ def bucket_links(members: DataFrame, features: DataFrame, own: int, prepare: Cal
     until every bucket is done. So no bucket makes all its pairs at once, and none is cut short, however large.
 
     prepare: takes the ids that share a bucket with another and returns a function from distinct pairs (a, b) to those that hold."""
-    every = stored(members.select("bucket", "band", "id").distinct(), "members")
+    every = members.select("bucket", "band", "id")  # no member is twice in a bucket
     shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     rest = stored(every.join(shared, "bucket"), "members")
-    drop_stored(every)
     verify = prepare(rest.select("id").distinct())
     found: DataFrame | None = None
     parts = 1
