@@ -9,63 +9,52 @@ from pyspark.sql import functions as F
 
 from strandspark.llm.common import drop_stored, stored
 
+#: By how much the number of a bucket's leaders grows from round to round.
+MORE_LEADERS = 32
 
-#: Members of a bucket that all meet each other; the rest of a larger bucket is split by further features first.
-SMALL = 8
 
+def bucket_links(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(verified links, components): links (a, b), b the smaller id, between members (bucket, id) of the same
+    bucket, enough of them to connect all members that are connected; and (id, component) of the ids that have links.
 
-def bucket_links(members: DataFrame, features: DataFrame, own: int, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Verified links (a, b), b the smaller id, between members (bucket, band, id) of the same bucket.
-
-    First every member is verified against its bucket's smallest id; members that are linked to it leave the bucket with it.
-    What remains in a bucket of more than SMALL members is dissimilar to its leader and shares, say, a common passage: it goes
-    on in finer buckets, one for each feature (id, f: array) that isn't of the bucket's own band (`own` features make a
-    band), as similar members share many. Then, in rounds, buckets are dealt into 8, 64, ... parts whose smallest ids are leaders,
-    until every bucket is done. So no bucket makes all its pairs at once, and none is cut short, however large.
+    In rounds: a bucket is dealt into 1, 32, 1024, ... parts, and in each part the id of the smallest hash is a leader.
+    All members of the bucket are verified against all its leaders, but for those that the first round's links have joined in one
+    component. Leaders, and members in the component of one, are done and leave the bucket. It ends when no bucket holds two. So a bucket
+    of similar members, however large, takes one pass, and dissimilar ones take more, but none is cut short. The hash that
+    makes a leader also takes the bucket, so that two members which share several buckets meet different leaders.
 
     prepare: takes the ids that share a bucket with another and returns a function from distinct pairs (a, b) to those that hold."""
-    every = members.select("bucket", "band", "id")  # no member is twice in a bucket
+    every = members.select("bucket", "id")  # no member is twice in a bucket
     shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    rest = stored(every.join(shared, "bucket"), "members")
+    rest = stored(every.join(shared, "bucket").withColumn("component", F.col("id")), "members")
     verify = prepare(rest.select("id").distinct())
-    found: DataFrame | None = None
+    links = found = known = None
     parts = 1
-    while True:
-        dealt = rest.groupBy("bucket", F.pmod(F.xxhash64("id", F.lit(parts)), F.lit(parts)).alias("part")).agg(F.min("id").alias("leader"))
-        leaders = stored(dealt.select("bucket", "leader"), "leaders")
-        asked = stored(rest.join(leaders, "bucket").filter("id <> leader"), "asked")
-        if asked.isEmpty():
-            break
-        pair = (F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"))
-        pairs = asked.select(*pair).distinct()
-        if found is not None:  # known to hold, or tested before in another bucket
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+    while links is None or not rest.isEmpty():
+        rank = F.xxhash64("id", "bucket", F.lit(parts))
+        first = F.min(F.struct(rank.alias("r"), F.col("id").alias("leader"), F.col("component").alias("side"))).alias("m")
+        leaders = rest.groupBy("bucket", F.pmod(rank, F.lit(parts)).alias("part")).agg(first).select("bucket", "m.leader", "m.side")
+        asked = stored(rest.join(leaders, "bucket").filter("component <> side").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct(), "asked")
+        pairs = asked if found is None else asked.join(tested, ["a", "b"], "left_anti")
         links = stored(verify(pairs), "links")
         found = links if found is None else found.unionByName(links)
-        tested = pairs if parts == 1 else tested.unionByName(pairs)
-        held = asked.select("bucket", "id", *pair).join(found.select("a", "b"), ["a", "b"]).select("bucket", "id")
-        done = held.unionByName(leaders.select("bucket", F.col("leader").alias("id"))).distinct()
-        left = rest.join(done, ["bucket", "id"], "left_anti")
+        tested = asked if parts == 1 else tested.unionByName(asked)
         if parts == 1:
-            left = _finer(stored(left, "rest"), features, own)
-        left = stored(left, "members")
-        for drop in (rest, asked, leaders):
-            drop_stored(drop)
-        rest, parts = left, parts * 8
-    if found is None:
-        found = verify(rest.select(F.col("id").alias("a"), F.col("id").alias("b")).filter("a < b"))
-    return stored(found.dropDuplicates(["a", "b"]), "found")
-
-
-def _finer(rest: DataFrame, features: DataFrame, own: int) -> DataFrame:
-    size = rest.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = rest.join(size, "bucket")
-    large = sized.filter(F.col("n") > SMALL).join(features, "id").select("id", "bucket", "band", F.posexplode("f").alias("at", "value"))
-    split = large.filter(F.floor(F.col("at") / own) != F.col("band")).select(F.xxhash64("bucket", "at", "value").alias("bucket"), "band", "id")
-    split = stored(split, "split")
-    again = split.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    return sized.filter(F.col("n") <= SMALL).select("bucket", "band", "id").unionByName(split.join(again, "bucket"))
+            known = components(links)
+            side = known.select("id", F.col("component").alias("now"))
+            rest = rest.select("bucket", "id").join(side, "id", "left").select("bucket", "id", F.coalesce("now", "id").alias("component"))
+            leaders = leaders.select("bucket", F.col("leader").alias("id")).join(side, "id", "left").select("bucket", F.coalesce("now", "id").alias("side"))
+            done = leaders.select("bucket", F.col("side").alias("component")).distinct()
+        else:
+            held = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            near = rest.join(held, rest["id"] == held["a"]).select("bucket", F.col("b").alias("leader"), "component").join(leaders, ["bucket", "leader"])
+            done = near.select("bucket", "component").unionByName(leaders.select("bucket", F.col("side").alias("component"))).distinct()
+        open_ = stored(rest.join(done, ["bucket", "component"], "left_anti").select("bucket", "id", "component"), "open")
+        again = open_.groupBy("bucket").agg(F.count_distinct("component").alias("n")).filter("n > 1").select("bucket")
+        rest, parts = stored(open_.join(again, "bucket").select("bucket", "id", "component"), "members"), parts * MORE_LEADERS
+    if parts > MORE_LEADERS:
+        known = components(found.unionByName(known.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    return found, known
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -79,15 +68,14 @@ def components(links: DataFrame) -> DataFrame:
     while before.n:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = stored(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
         drop, edges = edges, stored(small, "edges")
         drop_stored(drop)
-        drop_stored(large)
         after = mark(edges)
         if after == before:
             break
         before = after
     nodes = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return stored(nodes.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct(), "components")
+    return stored(nodes.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()), "components")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandspark.llm.common import blocks, mix, prefix_hash, read_table, span_hash, stored, words
-from strandspark.llm.graph import bucket_links, components
+from strandspark.llm.graph import bucket_links
 
 SHINGLE, CHOSEN, TUPLES, SIMILARITY = 5, 3, 24, 0.8
 #: Cells of alignment that are computed together.
@@ -200,21 +200,20 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): row (its place in the table), doc_id, class_id (the smallest doc_id of
-    its class), links (verified links of its text to other texts) and first (whether it is the one to keep)."""
+    its class), links (the links of its text to other texts that the search verified) and first (whether it is the one to keep)."""
     placed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     every = stored(placed.mapInArrow(_sketch, "row long, doc_id long, x long, y long, n_words long, buckets array<long>"), "sketches")
     texts = every.groupBy("x", "y").agg(F.min("row").alias("row"))  # one row for each different text
-    alone = every.filter("n_words > 0").select("row", "buckets").join(texts.select("row"), "row").select(F.col("row").alias("id"), F.col("buckets").alias("f"))
-    members = alone.select("id", F.posexplode("f").alias("band", "bucket"))
+    members = every.filter("n_words > 0").select("row", "buckets").join(texts.select("row"), "row").select(F.col("row").alias("id"), F.explode("buckets").alias("bucket"))
 
     def prepare(ids: DataFrame):
         known = stored(placed.select(F.col("row").alias("id"), "text").join(ids, "id"), "texts")
         left, right = (known.select(F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("a", "ta"), ("b", "tb")))
         return lambda pairs: pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_align, "a long, b long")
 
-    links = bucket_links(members, alone, 1, prepare)
+    links, of = bucket_links(members, prepare)
     ends = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("links"))
-    of = components(links).select(F.col("id").alias("row"), "component")
+    of = of.select(F.col("id").alias("row"), "component")
     named = texts.join(of, "row", "left").join(ends, "row", "left").select("x", "y", F.coalesce("component", "row").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     rows = stored(every.select("row", "doc_id", "x", "y").join(named, ["x", "y"]).drop("x", "y"), "classes")
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"), F.count("*").alias("size"))
