@@ -1,10 +1,11 @@
 """LM scoring by cross-entropy difference: how much better a target model than a background model predicts a document.
 
-Both are interpolated bigram models over one vocabulary of words and are matched: the same words, order, smoothing and table sizes, and
+Both are interpolated bigram models over one vocabulary of words and are matched: the same words, order and smoothing, and
 background counts scaled to the target's number of words. The target is the documents labelled of high quality, the
-background all documents; whole texts of all of them are counted. The vocabulary are 2^20 classes of words by hash, and bigrams
-fall into 2^22 classes, so that two tables of fixed size hold a model at any size of the corpus. Each task sums
-its words and bigrams by class before the shuffle. The tables, 40 MB at any size, go to the executors.
+background all documents; whole texts of all of them are counted. Every different word and bigram has counts of its own, under
+64-bit hashes, in DataFrames that grow with the corpus. Each task sums its bigrams before the shuffle; words are summed from
+bigrams. A bigram's gain depends on its counts and its two words' alone, so it is computed once. The gains of the
+most frequent bigrams (at most HEAVY, 16 MB) go to the executors; a document's other bigrams are joined with theirs.
 
 The score is the mean over a document's words of background loss less target loss, in nats; higher: nearer to the target.
 Null or empty text, or one without words: score 0. Very long texts: whole. Repeated rows: counted and scored each.
@@ -20,98 +21,142 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import blocks, mix, prefix_hash, read_table, span_hash, words
+from strandspark.llm.common import blocks, drop_stored, mix, prefix_hash, read_table, span_hash, stored, words
 
-WORD_BITS, PAIR_BITS, BLEND, ADD = 20, 22, 0.6, 0.5
+BLEND, ADD = 0.6, 0.5
+#: Bigrams that make up at least this part of all are broadcast; the others are joined.
+HEAVY = 1 << 20
+#: Words that a task counts together.
+HELD = 1 << 21
+_START = np.uint64(1)  # stands before the first word of a text
 
 
-def codes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each word, class of each word with the one before it, first word of each text)."""
+def _pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _words(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, hash of the one before it, first word of each text)."""
     low, start, end, first = words(body, offsets)
     h = span_hash(prefix_hash(low), start, end)
-    word = (h >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     before = np.append(np.uint64(0), h[:-1]) if len(h) else h
-    before[first[:-1][np.diff(first) > 0]] = np.uint64(1)  # a text's start
-    pair = (mix(before * np.uint64(0x9E3779B97F4A7C15) + h) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    return word, pair, first
+    before[first[:-1][np.diff(first) > 0]] = _START
+    return h, before, first
+
+
+def codes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, hash of each word with the one before it, first word of each text)."""
+    word, before, first = _words(body, offsets)
+    return word, _pairs(before, word), first
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables = {(k, side): np.zeros(1 << bits, np.int64) for k, bits in ((0, WORD_BITS), (1, PAIR_BITS)) for side in (0, 1)}
-    for batch, body, offsets in blocks(batches, "text"):
-        word, pair, first = codes(body, offsets)
-        target = np.repeat(batch.column("target").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-        for k, x in enumerate((word, pair)):
-            np.add.at(tables[k, 0], x, 1)
-            np.add.at(tables[k, 1], x[target], 1)
-    for k in (0, 1):
-        at = np.flatnonzero(tables[k, 0])
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        word, before, target = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, at, of = np.unique(_pairs(before, word), return_index=True, return_inverse=True)
+        columns = [before[at].view(np.int64), word[at].view(np.int64), np.bincount(of, minlength=len(at)), np.bincount(of[target], minlength=len(at))]
         for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(part.astype(np.int32)), pa.array(tables[k, 0][part]), pa.array(tables[k, 1][part])], names=["kind", "class", "background", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)].astype(np.int64)) for x in columns], names=["before", "word", "n", "t"])
+
+    for batch, body, offsets in blocks(batches, "text"):
+        word, before, first = _words(body, offsets)
+        held.append((word, before, np.repeat(batch.column("target").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))))
+        if sum(len(x[0]) for x in held) >= HELD:
+            yield from summed()
+            held.clear()
+    if held:
+        yield from summed()
+
+
+def _gains(words_: int, targets: int, size: int):
+    """For bigrams with their counts and those of their words: background loss less target loss."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            log = []
+            for pair, single, seen, scale in (("n", "wn", "bn", targets / words_), ("t", "wt", "bt", 1.0)):
+                alone = (x[single] * scale + ADD) / (targets + ADD * size)
+                # a word whose context was never seen, or that begins a text, is predicted by its own frequency
+                before = x[seen] * scale
+                follow = x[pair] * scale / np.maximum(before, 1e-9)
+                blend = np.where(before > 0, BLEND * before / (before + 1.0), 0.0)
+                log.append(np.log(np.where(before > 0, blend * follow, 0.0) + (1 - blend) * alone))
+            pair = _pairs(x["before"].view(np.uint64), x["word"].view(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pair), batch.column("n"), pa.array(log[1] - log[0])], names=["pair", "n", "gain"])
+
+    return apply
 
 
 class Models:
-    """The two models' tables, filled from counts of classes."""
-
-    def __init__(self) -> None:
-        self.words, self.pairs = np.zeros((2, 1 << WORD_BITS), np.float32), np.zeros((2, 1 << PAIR_BITS), np.float32)
-
-    def add(self, table: pa.Table | pa.RecordBatch) -> None:
-        kind, at = table.column("kind").to_numpy(), table.column("class").to_numpy()
-        for k, own in ((0, self.words), (1, self.pairs)):
-            for side, name in enumerate(("background", "target")):
-                own[side][at[kind == k]] = table.column(name).to_numpy()[kind == k]
-
-    def matched(self) -> bool:
-        """Scales the background to the target's number of words; whether there is a target."""
-        total = self.words.sum(1, dtype=np.float64)
-        if not total[1]:
-            return False
-        self.words[0] *= total[1] / total[0]
-        self.pairs[0] *= total[1] / total[0]
-        self.total, self.size = total[1], int((self.words[0] > 0).sum())
-        return True
-
-    def gains(self, word: np.ndarray, pair: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """For each word, background loss less target loss."""
-        before = np.append(0, word[:-1]) if len(word) else word
-        begins = np.zeros(len(word), bool)
-        begins[first[:-1][np.diff(first) > 0]] = True
-        log = []
-        for side in (0, 1):
-            single = (self.words[side][word] + ADD) / (self.total + ADD * self.size)
-            seen = self.words[side][before]
-            # a word whose context was never seen, or that begins a text, is predicted by its own frequency
-            follow = np.minimum(1.0, self.pairs[side][pair] / np.maximum(seen, 1e-9))
-            blend = np.where(begins | (seen <= 0), 0.0, BLEND * seen / (seen + 1.0))
-            log.append(np.log(blend * follow + (1 - blend) * single))
-        return log[1] - log[0]
+    """The two models, as the gain of each bigram: sorted arrays of the frequent ones and a DataFrame (pair, gain) of the rest."""
+
+    def __init__(self, gains: DataFrame, total: int) -> None:
+        frequent = F.col("n") * HEAVY >= total
+        table = gains.filter(frequent).select("pair", "gain").toArrow()  # at most HEAVY rows of 16 bytes
+        pair, gain = table.column("pair").to_numpy().view(np.uint64), table.column("gain").to_numpy()
+        order = np.argsort(pair)
+        self.frequent = pair[order], gain[order]
+        self.rest = gains.filter(~frequent).select("pair", "gain")
 
 
 def train(docs: DataFrame, targets: DataFrame) -> Models | None:
     """The models of docs (doc_id, text), with the doc_ids of targets as target."""
     marked = docs.select("doc_id", "text").join(targets.select("doc_id", F.lit(True).alias("target")).distinct(), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    counts = marked.mapInArrow(_count, "kind int, class int, background long, target long").groupBy("kind", "class").agg(F.sum("background").cast("float").alias("background"), F.sum("target").cast("float").alias("target"))
-    models = Models()
-    models.add(counts.toArrow())  # at most 2^20 + 2^22 rows of 16 bytes
-    return models if models.matched() else None
+    sums = [F.sum("n").alias("n"), F.sum("t").alias("t")]
+    pairs = stored(marked.mapInArrow(_count, "before long, word long, n long, t long").groupBy("before", "word").agg(*sums), "bigrams")
+    single = stored(pairs.groupBy("word").agg(*sums), "words")
+    total = single.agg(*sums, F.count("*").alias("size")).first()
+    if not total.t:
+        return None
+    own = single.select("word", F.col("n").alias("wn"), F.col("t").alias("wt"))
+    context = single.select(F.col("word").alias("before"), F.col("n").alias("bn"), F.col("t").alias("bt"))
+    full = pairs.join(own, "word").join(context, "before", "left").fillna(0, ["bn", "bt"])
+    gains = stored(full.mapInArrow(_gains(total.n, total.t, total.size), "pair long, n long, gain double"), "gains")
+    drop_stored(pairs)
+    drop_stored(single)
+    return Models(gains, total.n)
 
 
 def score(docs: DataFrame, models: Models | None) -> DataFrame:
-    """doc_id, n_words and the score of each row of docs (doc_id, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(models)
+    """doc_id, n_words and the score of each row of docs (doc_id, text), which are among those that the models have counted."""
+    held = docs.sparkSession.sparkContext.broadcast(models and models.frequent)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, body, offsets in blocks(batches, "text"):
-            word, pair, first = codes(body, offsets)
-            n = np.diff(first)
-            out = np.zeros(len(n))
-            if held.value is not None and n.any():
-                out[n > 0] = np.add.reduceat(held.value.gains(word, pair, first), first[:-1][n > 0]) / n[n > 0]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(out)], names=["doc_id", "n_words", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(apply, "doc_id long, n_words long, score double")
+            _, pair, first = codes(body, offsets)
+            n, row = np.diff(first), batch.column("row").to_numpy()
+            text = np.repeat(np.arange(len(n)), n)
+            part, other = np.zeros(len(n)), np.zeros(len(pair), bool)
+            if held.value is not None and len(pair):
+                other[:] = True
+                if len(held.value[0]):
+                    at = np.minimum(np.searchsorted(held.value[0], pair), len(held.value[0]) - 1)
+                    other = held.value[0][at] != pair
+                    part = np.bincount(text, np.where(other, 0.0, held.value[1][at]), minlength=len(n))
+            # each text has a row of its own, dealt by a key that meets no gain, and one for each other bigram
+            yield pa.RecordBatch.from_arrays([pa.array(row), batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(part), pa.array(mix(row.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(len(n), np.int64))], names=names)
+            key, text = pair[other], text[other]
+            order = np.lexsort((key, text))
+            key, text = key[order], text[order]
+            fresh = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (text[1:] != text[:-1]))) if len(key) else np.zeros(0, np.int64)
+            times = np.diff(np.append(fresh, len(key)))
+            for i in range(0, len(fresh), 1 << 16):
+                f = fresh[i : i + (1 << 16)]
+                none = pa.nulls(len(f), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(row[text[f]]), none, none, pa.array(np.zeros(len(f))), pa.array(key[f].view(np.int64)), pa.array(times[i : i + (1 << 16)])], names=names)
+
+    names = ["row", "doc_id", "n_words", "part", "pair", "times"]
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    parts = rows.mapInArrow(apply, "row long, doc_id long, n_words long, part double, pair long, times long")
+    if models is None:
+        return parts.select("doc_id", "n_words", F.col("part").alias("score"))
+    uncounted = F.when(F.col("times") == 0, F.lit(0.0)).otherwise(F.raise_error(F.lit("a document that the models have not counted")).cast("double"))
+    sums = parts.join(models.rest, "pair", "left").select("row", "doc_id", "n_words", (F.col("part") + F.col("times") * F.coalesce("gain", uncounted)).alias("part"))
+    out = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("part").alias("part"))
+    return out.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("part") / F.col("n_words")).otherwise(0.0).alias("score"))
 
 
 def op2_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,6 +125,34 @@ def test_scoring_brute(spark):
     assert min(got[i] for i in good) > max(got[i] for i in range(4, 30))
 
 
+@pytest.mark.parametrize("heavy", [scoring.HEAVY, 16])
+def test_scoring_counts_real_ngrams(spark, monkeypatch, heavy):
+    # by the words themselves: enough of them to meet in tables of 2^20 words and 2^22 bigrams
+    monkeypatch.setattr(scoring, "HEAVY", heavy)
+    rng = random.Random(12)
+    vocabulary = [_sentence(rng, 1) + str(k) for k in range(8000)]
+    docs = {i: [rng.choice(vocabulary) for _ in range(400)] + ["common", "pair"] * 40 for i in range(60)}
+    good = set(range(10))
+    one, two = [Counter(), Counter()], [Counter(), Counter()]
+    for i, w in docs.items():
+        for side in (0, 1) if i in good else (0,):
+            one[side].update(w)
+            two[side].update(zip(w, w[1:], strict=False))
+    total, ratio, size = sum(one[1].values()), sum(one[1].values()) / sum(one[0].values()), len(one[0])
+
+    def loss(side, f, a, b):
+        single = (one[side][b] * f + scoring.ADD) / (total + scoring.ADD * size)
+        seen = one[side][a] * f if a else 0
+        share = scoring.BLEND * seen / (seen + 1)
+        return -np.log(share * (two[side][a, b] * f / seen if seen else 0) + (1 - share) * single)
+
+    df = _docs(spark, [(i, " ".join(w)) for i, w in docs.items()])
+    got = {r.doc_id: r.score for r in scoring.score(df, scoring.train(df, spark.createDataFrame([(i,) for i in good], "doc_id long"))).collect()}
+    assert len(got) == 60
+    for i, w in docs.items():
+        assert got[i] == pytest.approx(np.mean([loss(0, ratio, a, b) - loss(1, 1.0, a, b) for a, b in zip([None, *w], w, strict=False)]), abs=1e-9)
+
+
 def test_scoring_without_target_or_rows(spark):
     df = _docs(spark, ODD)
     none = spark.createDataFrame([], "doc_id long")
