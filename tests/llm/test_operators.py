@@ -320,6 +320,25 @@ def test_lines_brute(spark):
         assert r.text == want
 
 
+def _line_classes(spark, texts):
+    return [(r.class_doc, r.class_pos) for r in sorted(lines.line_classes(_docs(spark, list(enumerate(texts)))).collect(), key=lambda r: r.doc_id)]
+
+
+def test_lines_without_white_space(spark):
+    # similar lines whose shingles at word starts differ; all shingles are 0.8 alike or more
+    rng = random.Random(13)
+    texts = []
+    for k in range(20):
+        cjk, path = "".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(40)), _sentence(rng, 12).replace(" ", "/")
+        texts += [f"1{cjk}", f"2{cjk}", f"https://{path}", f"http://{path}", f"{k} {path}", f"{k + 50} {path}"]
+    for a, b in zip(texts[::2], texts[1::2], strict=True):
+        x, y = _shingles(a), _shingles(b)
+        assert len(x & y) >= 0.8 * len(x | y)
+    got = _line_classes(spark, texts)
+    found = sum(a == b for a, b in zip(got[::2], got[1::2], strict=True))
+    assert found >= 59 and got[0] != got[6]
+
+
 def test_lines_odd(spark):
     docs = _docs(spark, ODD)
     assert lines.drop_repeated_lines(docs).count() == len(ODD)
