@@ -13,8 +13,8 @@ from strandspark.llm.common import drop_stored, stored
 MORE_LEADERS = 32
 
 
-def bucket_links(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """(verified links, components): links (a, b), b the smaller id, between members (bucket, id) of the same
+def bucket_links(members: DataFrame, least: float, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(verified links, components): links (a, b), b the smaller id, between members (bucket, id, size) of the same
     bucket, enough of them to connect all members that are connected; and (id, component) of the ids that have links.
 
     In rounds: a bucket is dealt into 1, 32, 1024, ... parts, and in each part the id of the smallest hash is a leader.
@@ -23,18 +23,20 @@ def bucket_links(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
     of similar members, however large, takes one pass, and dissimilar ones take more, but none is cut short. The hash that
     makes a leader also takes the bucket, so that two members which share several buckets meet different leaders.
 
+    least: pairs of a similarity of this hold; the smaller size by the larger bounds it from above, so pairs below are not verified.
     prepare: takes the ids that share a bucket with another and returns a function from distinct pairs (a, b) to those that hold."""
-    every = members.select("bucket", "id")  # no member is twice in a bucket
+    every = members.select("bucket", "id", "size")  # no member is twice in a bucket
     shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     rest = stored(every.join(shared, "bucket").withColumn("component", F.col("id")), "members")
     verify = prepare(rest.select("id").distinct())
+    bound = F.least("size", "its") >= least * F.greatest("size", "its") - 1e-6
     links = found = known = None
     parts = 1
     while links is None or not rest.isEmpty():
         rank = F.xxhash64("id", "bucket", F.lit(parts))
-        first = F.min(F.struct(rank.alias("r"), F.col("id").alias("leader"), F.col("component").alias("side"))).alias("m")
-        leaders = rest.groupBy("bucket", F.pmod(rank, F.lit(parts)).alias("part")).agg(first).select("bucket", "m.leader", "m.side")
-        asked = stored(rest.join(leaders, "bucket").filter("component <> side").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct(), "asked")
+        first = F.min(F.struct(rank.alias("r"), F.col("id").alias("leader"), F.col("component").alias("side"), F.col("size").alias("its"))).alias("m")
+        leaders = rest.groupBy("bucket", F.pmod(rank, F.lit(parts)).alias("part")).agg(first).select("bucket", "m.leader", "m.side", "m.its")
+        asked = stored(rest.join(leaders, "bucket").filter((F.col("component") != F.col("side")) & bound).select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct(), "asked")
         pairs = asked if found is None else asked.join(tested, ["a", "b"], "left_anti")
         links = stored(verify(pairs), "links")
         found = links if found is None else found.unionByName(links)
@@ -42,16 +44,16 @@ def bucket_links(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
         if parts == 1:
             known = components(links)
             side = known.select("id", F.col("component").alias("now"))
-            rest = rest.select("bucket", "id").join(side, "id", "left").select("bucket", "id", F.coalesce("now", "id").alias("component"))
+            rest = rest.select("bucket", "id", "size").join(side, "id", "left").select("bucket", "id", "size", F.coalesce("now", "id").alias("component"))
             leaders = leaders.select("bucket", F.col("leader").alias("id")).join(side, "id", "left").select("bucket", F.coalesce("now", "id").alias("side"))
             done = leaders.select("bucket", F.col("side").alias("component")).distinct()
         else:
             held = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
             near = rest.join(held, rest["id"] == held["a"]).select("bucket", F.col("b").alias("leader"), "component").join(leaders, ["bucket", "leader"])
             done = near.select("bucket", "component").unionByName(leaders.select("bucket", F.col("side").alias("component"))).distinct()
-        open_ = stored(rest.join(done, ["bucket", "component"], "left_anti").select("bucket", "id", "component"), "open")
+        open_ = stored(rest.join(done, ["bucket", "component"], "left_anti").select("bucket", "id", "size", "component"), "open")
         again = open_.groupBy("bucket").agg(F.count_distinct("component").alias("n")).filter("n > 1").select("bucket")
-        rest, parts = stored(open_.join(again, "bucket").select("bucket", "id", "component"), "members"), parts * MORE_LEADERS
+        rest, parts = stored(open_.join(again, "bucket").select("bucket", "id", "size", "component"), "members"), parts * MORE_LEADERS
     if parts > MORE_LEADERS:
         known = components(found.unionByName(known.select(F.col("id").alias("a"), F.col("component").alias("b"))))
     return found, known

@@ -204,14 +204,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
     placed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     every = stored(placed.mapInArrow(_sketch, "row long, doc_id long, x long, y long, n_words long, buckets array<long>"), "sketches")
     texts = every.groupBy("x", "y").agg(F.min("row").alias("row"))  # one row for each different text
-    members = every.filter("n_words > 0").select("row", "buckets").join(texts.select("row"), "row").select(F.col("row").alias("id"), F.explode("buckets").alias("bucket"))
+    members = every.filter("n_words > 0").select("row", "n_words", "buckets").join(texts.select("row"), "row").select(F.col("row").alias("id"), F.col("n_words").alias("size"), F.explode("buckets").alias("bucket"))
 
     def prepare(ids: DataFrame):
         known = stored(placed.select(F.col("row").alias("id"), "text").join(ids, "id"), "texts")
         left, right = (known.select(F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("a", "ta"), ("b", "tb")))
         return lambda pairs: pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_align, "a long, b long")
 
-    links, of = bucket_links(members, prepare)
+    links, of = bucket_links(members, SIMILARITY, prepare)
     ends = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("links"))
     of = of.select(F.col("id").alias("row"), "component")
     named = texts.join(of, "row", "left").join(ends, "row", "left").select("x", "y", F.coalesce("component", "row").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
