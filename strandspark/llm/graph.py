@@ -18,10 +18,11 @@ def bucket_links(members: DataFrame, least: float, prepare: Callable[[DataFrame]
     bucket, enough of them to connect all members that are connected; and (id, component) of the ids that have links.
 
     In rounds: a bucket is dealt into 1, 32, 1024, ... parts, and in each part the id of the smallest hash is a leader.
-    All members of the bucket are verified against all its leaders, but for those that the first round's links have joined in one
-    component. Leaders, and members in the component of one, are done and leave the bucket. It ends when no bucket holds two. So a bucket
-    of similar members, however large, takes one pass, and dissimilar ones take more, but none is cut short. The hash that
-    makes a leader also takes the bucket, so that two members which share several buckets meet different leaders.
+    Each leader is verified against all members of its bucket that are not known to be of its component, joined or not, so it is
+    done and leaves the bucket; all others stay. After each round the components take in its links. It ends when
+    no bucket holds members of two components: then each two members of a bucket were verified or are of one component. So
+    a bucket of similar members, however large, takes one pass, and dissimilar ones take more, but none is cut short. The hash
+    that makes a leader also takes the bucket, so that two members which share several buckets meet different leaders.
 
     least: pairs of a similarity of this hold; the smaller size by the larger bounds it from above, so pairs below are not verified.
     prepare: takes the ids that share a bucket with another and returns a function from distinct pairs (a, b) to those that hold."""
@@ -40,22 +41,16 @@ def bucket_links(members: DataFrame, least: float, prepare: Callable[[DataFrame]
         pairs = asked if found is None else asked.join(tested, ["a", "b"], "left_anti")
         links = stored(verify(pairs), "links")
         found = links if found is None else found.unionByName(links)
-        tested = asked if parts == 1 else tested.unionByName(asked)
-        if parts == 1:
+        tested = asked if known is None else tested.unionByName(asked)
+        if known is None:
             known = components(links)
-            side = known.select("id", F.col("component").alias("now"))
-            rest = rest.select("bucket", "id", "size").join(side, "id", "left").select("bucket", "id", "size", F.coalesce("now", "id").alias("component"))
-            leaders = leaders.select("bucket", F.col("leader").alias("id")).join(side, "id", "left").select("bucket", F.coalesce("now", "id").alias("side"))
-            done = leaders.select("bucket", F.col("side").alias("component")).distinct()
-        else:
-            held = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            near = rest.join(held, rest["id"] == held["a"]).select("bucket", F.col("b").alias("leader"), "component").join(leaders, ["bucket", "leader"])
-            done = near.select("bucket", "component").unionByName(leaders.select("bucket", F.col("side").alias("component"))).distinct()
-        open_ = stored(rest.join(done, ["bucket", "component"], "left_anti").select("bucket", "id", "size", "component"), "open")
+        elif not links.isEmpty():
+            known = components(links.unionByName(known.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        side = known.select("id", F.col("component").alias("now"))
+        open_ = rest.join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "size")
+        open_ = stored(open_.join(side, "id", "left").select("bucket", "id", "size", F.coalesce("now", "id").alias("component")), "open")
         again = open_.groupBy("bucket").agg(F.count_distinct("component").alias("n")).filter("n > 1").select("bucket")
         rest, parts = stored(open_.join(again, "bucket").select("bucket", "id", "size", "component"), "members"), parts * MORE_LEADERS
-    if parts > MORE_LEADERS:
-        known = components(found.unionByName(known.select(F.col("id").alias("a"), F.col("component").alias("b"))))
     return found, known
 
 

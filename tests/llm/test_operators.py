@@ -364,6 +364,22 @@ def test_lines_odd(spark):
     assert lines.drop_repeated_lines(docs.limit(0)).columns == docs.columns
 
 
+def test_bucket_links_of_fringe_members(spark):
+    # many near copies, and members that only one or two of them are like: every pair of a bucket counts
+    rng = random.Random(15)
+    ids, true = list(range(400)), {(a, b) for a in range(300) for b in range(a)}
+    for f in range(300, 400):
+        true.add((f, rng.randrange(f)))
+    members = spark.createDataFrame([(b, i, 100) for b in range(2) for i in ids if b == 0 or i % 3], "bucket long, id long, size int")
+    members = members.unionByName(spark.createDataFrame([(2, 1000, 100), (2, 1001, 79), (2, 1002, 80)], members.schema))
+    fits = true | {(1001, 1000), (1002, 1000)}
+    table = spark.createDataFrame(list(fits), "a long, b long")
+    links, of = graph.bucket_links(members, 0.8, lambda _: lambda pairs: pairs.join(table, ["a", "b"]))
+    want = _joined(ids, true)
+    assert _partition((r.id, r.component) for r in of.collect() if r.id < 1000) == _partition(want.items())
+    assert [r.a for r in links.collect() if r.a >= 1000] == [1002]
+
+
 def test_components_brute(spark):
     rng = random.Random(8)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
