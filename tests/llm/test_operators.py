@@ -277,6 +277,21 @@ def test_neardup_brute(spark):
     assert sorted(kept) == sorted({r.class_id for r in rows})
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.84, 0.9])
+def test_neardup_recall_by_similarity(spark, similarity):
+    # lone pairs with scattered words changed
+    rng = random.Random(16)
+    texts = []
+    for _ in range(100):
+        words = [_sentence(rng, 1) for _ in range(300)]
+        other = list(words)
+        for k in rng.sample(range(300), round(300 * (1 - similarity))):
+            other[k] = f"new{k}"
+        texts += [" ".join(words), " ".join(other)]
+    rows = {r.doc_id: r.class_id for r in neardup.near_classes(_docs(spark, list(enumerate(texts)))).collect()}
+    assert sum(rows[i] == rows[i + 1] for i in range(0, 200, 2)) >= 96
+
+
 def test_neardup_odd(spark):
     docs = _docs(spark, ODD).withColumnRenamed("n_chars", "row")
     assert neardup.near_classes(docs).count() == len(ODD)
