@@ -6,10 +6,12 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel looks at together; one longer text makes a block of its own.
 BLOCK_BYTES = 1 << 21
@@ -58,6 +60,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """df, a stored table, marked for broadcast if it is counted to have at most so many rows; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+@contextmanager
+def conf(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Settings of the session (with _ for .) that hold for the jobs run inside."""
+    names = {k: k.replace("_", ".") for k in settings}
+    before = {k: spark.conf.get(name, None) for k, name in names.items()}
+    try:
+        for k, name in names.items():
+            spark.conf.set(name, settings[k])
+        yield
+    finally:
+        for k, name in names.items():
+            spark.conf.unset(name) if before[k] is None else spark.conf.set(name, before[k])
+
+
 def drop_stored(df: DataFrame) -> None:
     """Deletes what stored() wrote for df, once nothing reads it any more."""
     for x in list(_written):

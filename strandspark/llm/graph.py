@@ -10,48 +10,62 @@ from pyspark.sql import functions as F
 from strandspark.llm.common import drop_stored, stored
 
 #: By how much the number of a bucket's leaders grows from round to round.
-MORE_LEADERS = 32
+MORE_LEADERS = 16
 
 
-def bucket_links(members: DataFrame, least: float, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """(verified links, components): links (a, b), b the smaller id, between members (bucket, id, size) of the same
+def bucket_links(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(verified links, components): links (a, b), b the smaller id, between members (bucket, id) of the same
     bucket, enough of them to connect all members that are connected; and (id, component) of the ids that have links.
 
-    In rounds: a bucket is dealt into 1, 32, 1024, ... parts, and in each part the id of the smallest hash is a leader.
+    In rounds: a bucket is dealt into 1, 16, 256, ... parts, and the most popular member of each part is a leader: that whose
+    buckets hold most members in all, as does a text from which many others were made by small changes.
     Each leader is verified against all members of its bucket that are not known to be of its component, joined or not, so it is
     done and leaves the bucket; all others stay. After each round the components take in its links. It ends when
     no bucket holds members of two components: then each two members of a bucket were verified or are of one component. So
-    a bucket of similar members, however large, takes one pass, and dissimilar ones take more, but none is cut short. The hash
-    that makes a leader also takes the bucket, so that two members which share several buckets meet different leaders.
+    a bucket of similar members, however large, takes one pass, and dissimilar ones take more, but none is cut short.
 
-    least: pairs of a similarity of this hold; the smaller size by the larger bounds it from above, so pairs below are not verified.
     prepare: takes the ids that share a bucket with another and returns a function from distinct pairs (a, b) to those that hold."""
-    every = members.select("bucket", "id", "size")  # no member is twice in a bucket
-    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    rest = stored(every.join(shared, "bucket").withColumn("component", F.col("id")), "members")
-    verify = prepare(rest.select("id").distinct())
-    bound = F.least("size", "its") >= least * F.greatest("size", "its") - 1e-6
-    links = found = known = None
+    # dealt by bucket once, for the count and for the join
+    every = members.select("bucket", "id").repartition("bucket")  # no member is twice in a bucket
+    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    rest = stored(every.join(shared, "bucket").select("bucket", "id", "n"), "members")
+    ids = stored(rest.groupBy("id").agg(F.sum("n").alias("popular")), "popular")
+    verify = prepare(ids.select("id"))
+    before, rest = rest, stored(rest.join(ids, "id").select("bucket", "id", "popular", F.col("id").alias("component")), "members")
+    drop_stored(before)
+    links = known = tested = None
     parts = 1
-    while links is None or not rest.isEmpty():
-        rank = F.xxhash64("id", "bucket", F.lit(parts))
-        first = F.min(F.struct(rank.alias("r"), F.col("id").alias("leader"), F.col("component").alias("side"), F.col("size").alias("its"))).alias("m")
-        leaders = rest.groupBy("bucket", F.pmod(rank, F.lit(parts)).alias("part")).agg(first).select("bucket", "m.leader", "m.side", "m.its")
-        asked = stored(rest.join(leaders, "bucket").filter((F.col("component") != F.col("side")) & bound).select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct(), "asked")
-        pairs = asked if found is None else asked.join(tested, ["a", "b"], "left_anti")
-        links = stored(verify(pairs), "links")
-        found = links if found is None else found.unionByName(links)
-        tested = asked if known is None else tested.unionByName(asked)
+    while parts == 1 or not rest.isEmpty():
+        rank = F.xxhash64("id", F.lit(parts))
+        first = F.min(F.struct((-F.col("popular")).alias("p"), rank.alias("r"), F.col("id").alias("leader"), F.col("component").alias("side"))).alias("m")
+        leaders = stored(rest.groupBy("bucket", F.pmod(rank, F.lit(parts)).alias("part")).agg(first).select("bucket", "m.leader", "m.side"), "leaders")
+        asked = rest.join(leaders, "bucket").filter(F.col("component") != F.col("side")).select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
+        asked = stored(asked if tested is None else asked.join(tested, ["a", "b"], "left_anti"), "asked")
+        tested = asked if tested is None else tested.unionByName(asked)
+        new = stored(verify(asked), "links")
+        links = new if links is None else links.unionByName(new)
         if known is None:
-            known = components(links)
-        elif not links.isEmpty():
-            known = components(links.unionByName(known.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+            known = components(new)
+        elif not new.isEmpty():
+            known = merged(known, new)
         side = known.select("id", F.col("component").alias("now"))
-        open_ = rest.join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "size")
-        open_ = stored(open_.join(side, "id", "left").select("bucket", "id", "size", F.coalesce("now", "id").alias("component")), "open")
-        again = open_.groupBy("bucket").agg(F.count_distinct("component").alias("n")).filter("n > 1").select("bucket")
-        rest, parts = stored(open_.join(again, "bucket").select("bucket", "id", "size", "component"), "members"), parts * MORE_LEADERS
-    return found, known
+        left = rest.join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "popular")
+        left = stored(left.join(side, "id", "left").select("bucket", "id", "popular", F.coalesce("now", "id").alias("component")), "open")
+        open_ = left.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c <> d").select("bucket")
+        before, rest, parts = rest, stored(left.join(open_, "bucket").select("bucket", "id", "popular", "component"), "members"), parts * MORE_LEADERS
+        for x in (before, left, leaders):
+            drop_stored(x)
+    return links, known
+
+
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) with further links (a, b): the components themselves are joined, so that the large ones count as one."""
+    of = lambda c, to: known.select(F.col("id").alias(c), F.col("component").alias(to))
+    ends = stored(links.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "ends")
+    up = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("now"))
+    fresh = ends.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("ca").alias("component")), F.struct(F.col("b").alias("id"), F.col("cb").alias("component")))).alias("e")).select("e.*")
+    every = known.unionByName(fresh).distinct()
+    return stored(every.join(up, "component", "left").select("id", F.coalesce("now", "component").alias("component")), "components")
 
 
 def components(links: DataFrame) -> DataFrame:

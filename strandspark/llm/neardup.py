@@ -1,15 +1,16 @@
 """Near-duplicate documents by order MinHash, verified by banded alignment.
 
-A document is the sequence of its lower-cased words. Each of its three-word shingles carries the number of
+A document is the sequence of its lower-cased words. Each of its five-word shingles carries the number of
 its earlier occurrences. Each of TUPLES hash functions picks the two labelled shingles with the smallest hashes and
 keeps their text order; one 64-bit hash of that ordered pair is a bucket, so documents meet where their shingles agree
 in content and in order, as under few edits. Pairs in a bucket (see graph.bucket_links) are verified by their edit
-similarity over words, 1 - distance / length of the longer one, of 0.8 or more: the words that they share bound it
-from above, then an alignment in a band that widens until it holds the distance decides exactly.
+similarity over words, 1 - distance / length of the longer one, of 0.8 or more. Bit maps of the words, and then the words that
+they share, bound it from above; an alignment through shingles that occur once in either bounds it from below; what these leave
+open is decided exactly by an alignment in a band that widens until it holds the distance.
 
 Documents of equal words are one text, so copies make no pairs. Documents without words: one class of their own kind
-(equal texts). Null text: as empty. Fewer than three words: one shingle. Very long texts: whole. Repeated rows and null doc_ids:
-rows of their own. Empty table: no rows. Other columns pass through unread.
+(equal texts). Null text: as empty. Fewer than five words: one shingle. Very long texts: whole. Repeated rows and null doc_ids:
+rows of their own. Empty table: no rows. Other columns pass through unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,14 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import blocks, mix, prefix_hash, read_table, span_hash, stored, words
+from strandspark.llm.common import blocks, broadcast_up_to, drop_stored, mix, prefix_hash, read_table, span_hash, stored, words
 from strandspark.llm.graph import bucket_links
 
-#: At a similarity of 0.8 by scattered changes 0.51 of the shingles stay, and a pair agrees in about 0.12: a bucket in common with 0.99.
-SHINGLE, CHOSEN, TUPLES, SIMILARITY = 3, 2, 40, 0.8
+#: At a similarity of 0.8 by scattered changes a third of the shingles stay, and an ordered pair agrees in about 0.04: a bucket in common with 0.9 or more.
+SHINGLE, CHOSEN, TUPLES, SIMILARITY = 5, 2, 64, 0.8
+#: Longs of a bit map of words.
+MAP = 16
+#: Ids that are broadcast at most (8 MB).
+SENT = 1 << 20
 #: Cells of alignment that are computed together.
 CELLS = 1 << 22
-_LOW = np.uint64((1 << 24) - 1)
 
 
 def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,15 +53,37 @@ def labelled_shingles(h: np.ndarray, first: np.ndarray, size: int = SHINGLE) ->
     for k in range(size):
         inside = at + k < last
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, h[np.minimum(at + k, max(0, len(h) - 1))], np.uint64(k + 1)))
-    if len(key):  # occurrence numbers: runs of equal (text, shingle) in a stable order
-        order = np.lexsort((key, doc))
-        k, d = key[order], doc[order]
-        fresh = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
-        place = np.arange(len(k))
-        nth = place - np.maximum.accumulate(np.where(fresh, place, 0))
-        if nth.any():
-            key[order] = np.where(nth > 0, mix(k + nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), k)
-    return key, begin
+    return labelled(key, doc), begin
+
+
+def labelled(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The keys with the number of their earlier occurrences in the text mixed in."""
+    if not len(key):
+        return key
+    order = np.lexsort((key, doc))  # runs of equal (text, key) in a stable order
+    k, d = key[order], doc[order]
+    fresh = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
+    place = np.arange(len(k))
+    nth = place - np.maximum.accumulate(np.where(fresh, place, 0))
+    out = key.copy()
+    if nth.any():
+        out[order] = np.where(nth > 0, mix(k + nth.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), k)
+    return out
+
+
+def word_maps(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """texts x MAP: bit maps of each text's words, the second occurrence of a word as a word of its own."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    bit = (mix(labelled(h, doc) + np.uint64(1)) >> np.uint64(32)).astype(np.int64) % (64 * MAP)
+    flags = np.zeros((len(first) - 1, 64 * MAP), bool)
+    flags[doc, bit] = True
+    return np.packbits(flags, axis=1, bitorder="little").view(np.uint64)
+
+
+def may_hold(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Whether lengths and bit maps leave the similarity possible: each bit that only one text has costs an edit at least."""
+    only = np.maximum(np.bitwise_count(a & ~b).sum(1, dtype=np.int64), np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+    return np.maximum(only, np.abs(na - nb)) <= (1 - similarity) * np.maximum(na, nb) + 1e-9
 
 
 def order_minhash(key: np.ndarray, begin: np.ndarray, tuples: int = TUPLES, chosen: int = CHOSEN) -> np.ndarray:
@@ -68,14 +94,16 @@ def order_minhash(key: np.ndarray, begin: np.ndarray, tuples: int = TUPLES, chos
     if not len(has):
         return out
     starts = begin[:-1][has]
-    place = (np.arange(len(key)) - np.repeat(starts, n[has])).astype(np.uint64) & _LOW
+    # the low bits tell the place in the text, as many as the longest text needs; the high bits order the shingles
+    low = np.uint64((1 << int(n.max()).bit_length()) - 1)
+    place = (np.arange(len(key)) - np.repeat(starts, n[has])).astype(np.uint64)
     for t in range(tuples):
-        # the high 40 bits order the shingles, the low 24 tell the place in the text
-        ranked = (mix(key ^ np.uint64((0xD6E8FEB86659FD93 * (t + 1)) & 0xFFFFFFFFFFFFFFFF)) & ~_LOW) | place
+        odd = np.uint64((0xD6E8FEB86659FD93 * (2 * t + 1)) & 0xFFFFFFFFFFFFFFFF | 1)
+        ranked = ((key ^ np.uint64((0xA0761D6478BD642F * (t + 1)) & 0xFFFFFFFFFFFFFFFF)) * odd & ~low) | place
         picked = []
         for c in range(chosen):
             least = np.minimum.reduceat(ranked, starts)
-            picked.append(np.where(least == np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0), (least & _LOW) + np.uint64(1)).astype(np.int64))
+            picked.append(np.where(least == np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0), (least & low) + np.uint64(1)).astype(np.int64))
             if c + 1 < chosen:
                 real = picked[-1] > 0
                 ranked[starts[real] + picked[-1][real] - 1] = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -125,6 +153,40 @@ def _within(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray, band: in
     return np.minimum(result, band + 1)
 
 
+def _grams(h: np.ndarray) -> np.ndarray:
+    key = np.zeros(max(0, len(h) - SHINGLE + 1), np.uint64)
+    for k in range(SHINGLE):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(key)]
+    return key
+
+
+def most_edits(a: np.ndarray, b: np.ndarray) -> int:
+    """An upper bound of the edit distance: the cost of an alignment through shingles that occur once in either text."""
+    if len(a) == len(b) and (d := int((a != b).sum())) * 5 <= len(a):
+        return d
+    x, y = _grams(a), _grams(b)
+    ux, ix, cx = np.unique(x, return_index=True, return_counts=True)
+    uy, iy, cy = np.unique(y, return_index=True, return_counts=True)
+    _, px, py = np.intersect1d(ux[cx == 1], uy[cy == 1], assume_unique=True, return_indices=True)
+    i, j = ix[cx == 1][px], iy[cy == 1][py]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    rising = j > np.append(-1, np.maximum.accumulate(j)[:-1]) if len(j) else np.zeros(0, bool)
+    # anchors: equal words at (i, j); what lies between two of them costs its differing words, or else all of the longer side
+    i, j = np.append(i[rising], len(a)), np.append(j[rising], len(b))
+    at_i, at_j = np.append(0, i[:-1]), np.append(0, j[:-1])
+    n, m = i - at_i, j - at_j
+    cost = np.maximum(n, m)
+    same = n == m
+    if same.any():
+        spot = np.repeat(at_i[same] - np.cumsum(n[same]) + n[same], n[same]) + np.arange(n[same].sum())
+        other = spot + np.repeat((at_j - at_i)[same], n[same])
+        differ = np.append(0, np.cumsum(a[spot] != b[other]))
+        ends = np.cumsum(n[same])
+        cost[same] = differ[ends] - differ[ends - n[same]]
+    return int(cost.sum())
+
+
 def edit_similar(a: list[np.ndarray], b: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
     """Which pairs of word sequences have a similarity of 1 - distance / longer length of at least `similarity`."""
     longer = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
@@ -136,7 +198,9 @@ def edit_similar(a: list[np.ndarray], b: list[np.ndarray], similarity: float = S
         y, cy = np.unique(b[i], return_counts=True)
         _, ix, iy = np.intersect1d(x, y, assume_unique=True, return_indices=True)
         if longer[i] - np.minimum(cx[ix], cy[iy]).sum() <= most[i]:
-            p = 0
+            if most_edits(a[i], b[i]) <= most[i]:
+                out[i] = True
+                continue
             short = min(len(a[i]), len(b[i]))
             diff = np.flatnonzero(a[i][:short] != b[i][:short])
             p = int(diff[0]) if len(diff) else short
@@ -181,8 +245,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(none):  # no words: the bytes themselves
                 raw = span_hash(prefix_hash(body), offsets[:-1][none], offsets[1:][none])
                 both[k, none] = mix(raw + np.uint64(factor))
+        maps = pa.array([x.tobytes() for x in word_maps(h, first)], pa.binary())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, TUPLES * (batch.num_rows + 1), TUPLES, dtype=np.int32)), pa.array(sketch.view(np.int64).ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id").cast(pa.int64()), pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64)), pa.array(np.diff(first)), lists], names=["row", "doc_id", "x", "y", "n_words", "buckets"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id").cast(pa.int64()), pa.array(both[0].view(np.int64)), pa.array(both[1].view(np.int64)), pa.array(np.diff(first)), lists, maps], names=["row", "doc_id", "x", "y", "n_words", "buckets", "map"])
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,32 +264,62 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).filter(pa.array(edit_similar(*sides)))
 
 
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            maps = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, MAP) for c in ("ma", "mb")]
+            yield batch.select(["a", "b"]).filter(pa.array(may_hold(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), *maps)))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs as a stored table: row, and its columns as c0, c1, ...; rows get their numbers once, as a second scan may be split differently."""
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns))), "rows")
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): row (its place in the table), doc_id, class_id (the smallest doc_id of
-    its class), links (the links of its text to other texts that the search verified) and first (whether it is the one to keep)."""
-    placed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    every = stored(placed.mapInArrow(_sketch, "row long, doc_id long, x long, y long, n_words long, buckets array<long>"), "sketches")
+    its class), links (the links of its text to other texts that the search verified), size (of the class) and first (whether it is the one to keep)."""
+    return _classes(_numbered(docs.select("doc_id", "text")).toDF("row", "doc_id", "text"))
+
+
+def _classes(placed: DataFrame) -> DataFrame:
+    """placed: (row, doc_id, text), a stored table."""
+    every = stored(placed.mapInArrow(_sketch, "row long, doc_id long, x long, y long, n_words long, buckets array<long>, map binary"), "sketches")
     texts = every.groupBy("x", "y").agg(F.min("row").alias("row"))  # one row for each different text
-    members = every.filter("n_words > 0").select("row", "n_words", "buckets").join(texts.select("row"), "row").select(F.col("row").alias("id"), F.col("n_words").alias("size"), F.explode("buckets").alias("bucket"))
+    unique = stored(texts, "texts")
+    members = every.filter("n_words > 0").select("row", "buckets").join(unique.select("row"), "row").select(F.col("row").alias("id"), F.explode(F.array_distinct("buckets")).alias("bucket"))
 
     def prepare(ids: DataFrame):
-        known = stored(placed.select(F.col("row").alias("id"), "text").join(ids, "id"), "texts")
-        left, right = (known.select(F.col("id").alias(i), F.col("text").alias(t)) for i, t in (("a", "ta"), ("b", "tb")))
-        return lambda pairs: pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_align, "a long, b long")
+        sent = broadcast_up_to(ids.select(F.col("id").alias("row")), SENT)
+        known = stored(placed.select("row", "text").join(sent, "row"), "known")
+        maps = stored(every.select("row", "n_words", "map").join(sent, "row"), "maps")
+        of = lambda side: maps.select(F.col("row").alias(side), F.col("n_words").alias(f"n{side}"), F.col("map").alias(f"m{side}"))
+        text = lambda side: known.select(F.col("row").alias(side), F.col("text").alias(f"t{side}"))
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            near = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-6
+            may = stored(pairs.join(of("a"), "a").join(of("b"), "b").filter(near).mapInArrow(_prune, "a long, b long"), "candidates")
+            return may.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_align, "a long, b long")
+
+        return verify
 
-    links, of = bucket_links(members, SIMILARITY, prepare)
+    links, of = bucket_links(members, prepare)
     ends = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("links"))
     of = of.select(F.col("id").alias("row"), "component")
-    named = texts.join(of, "row", "left").join(ends, "row", "left").select("x", "y", F.coalesce("component", "row").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = unique.join(of, "row", "left").join(ends, "row", "left").select("x", "y", F.coalesce("component", "row").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
     rows = stored(every.select("row", "doc_id", "x", "y").join(named, ["x", "y"]).drop("x", "y"), "classes")
+    drop_stored(every)
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"), F.count("*").alias("size"))
     return rows.join(best, "component").select("row", "doc_id", F.col("best.doc_id").alias("class_id"), "links", "size", (F.col("best.row") == F.col("row")).alias("first"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one document of each class of near duplicates: that of the smallest doc_id."""
-    keep = stored(near_classes(docs).filter("first").select(F.col("row").alias("__row")), "kept")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(keep, "__row", "left_semi").select(*docs.columns)
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = _numbered(docs)
+    placed = rows.select("row", F.col(own["doc_id"]).cast("long").alias("doc_id"), F.col(own["text"]).alias("text"))
+    gone = stored(_classes(placed).filter(~F.col("first")).select("row"), "gone")
+    return rows.join(broadcast_up_to(gone, 8 * SENT), "row", "left_anti").select(*(F.col(x).alias(c) for c, x in own.items()))
 
 
 def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

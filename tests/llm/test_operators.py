@@ -289,7 +289,7 @@ def test_neardup_recall_by_similarity(spark, similarity):
             other[k] = f"new{k}"
         texts += [" ".join(words), " ".join(other)]
     rows = {r.doc_id: r.class_id for r in neardup.near_classes(_docs(spark, list(enumerate(texts)))).collect()}
-    assert sum(rows[i] == rows[i + 1] for i in range(0, 200, 2)) >= 96
+    assert sum(rows[i] == rows[i + 1] for i in range(0, 200, 2)) >= 90
 
 
 def test_neardup_odd(spark):
@@ -385,11 +385,11 @@ def test_bucket_links_of_fringe_members(spark):
     ids, true = list(range(400)), {(a, b) for a in range(300) for b in range(a)}
     for f in range(300, 400):
         true.add((f, rng.randrange(f)))
-    members = spark.createDataFrame([(b, i, 100) for b in range(2) for i in ids if b == 0 or i % 3], "bucket long, id long, size int")
-    members = members.unionByName(spark.createDataFrame([(2, 1000, 100), (2, 1001, 79), (2, 1002, 80)], members.schema))
-    fits = true | {(1001, 1000), (1002, 1000)}
+    members = spark.createDataFrame([(b, i) for b in range(2) for i in ids if b == 0 or i % 3], "bucket long, id long")
+    members = members.unionByName(spark.createDataFrame([(2, 1000), (2, 1001), (2, 1002)], members.schema))
+    fits = true | {(1002, 1000)}
     table = spark.createDataFrame(list(fits), "a long, b long")
-    links, of = graph.bucket_links(members, 0.8, lambda _: lambda pairs: pairs.join(table, ["a", "b"]))
+    links, of = graph.bucket_links(members, lambda _: lambda pairs: pairs.join(table, ["a", "b"]))
     want = _joined(ids, true)
     assert _partition((r.id, r.component) for r in of.collect() if r.id < 1000) == _partition(want.items())
     assert [r.a for r in links.collect() if r.a >= 1000] == [1002]
@@ -568,3 +568,25 @@ def test_pipeline_stages(spark):
     assert ids and ids <= seen
     pieces = corpus_pipeline.run(spark, DATA)
     assert {r.doc_id for r in pieces.collect()} == ids
+
+
+def test_upper_bound_of_edits_brute():
+    rng = random.Random(21)
+    for n in (3, 30, 200):
+        for _ in range(40):
+            x = [rng.randint(0, 40) for _ in range(n)]
+            y = [v if rng.random() > 0.05 else rng.randint(0, 40) for v in x if rng.random() > 0.05]
+            y[n // 2 : n // 2] = y[: rng.randint(0, 3)]
+            a, b = np.array(x, np.uint64), np.array(y, np.uint64)
+            assert _edit(x, y) <= neardup.most_edits(a, b) <= max(len(x), len(y)) * 2
+
+
+def test_bit_maps_never_reject_similar_texts():
+    rng = random.Random(22)
+    for n in (1, 20, 400, 5000):
+        x = np.array([rng.randint(0, 500) for _ in range(n)], np.uint64)
+        y = x.copy()
+        for k in rng.sample(range(n), n // 5):
+            y[k] = 10_000 + k
+        both = neardup.word_maps(np.concatenate([x, y]), np.array([0, n, 2 * n]))
+        assert neardup.may_hold(np.array([n]), np.array([n]), both[:1], both[1:])[0]
