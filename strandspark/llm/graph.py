@@ -13,8 +13,8 @@ from strandspark.llm.common import drop_stored, stored
 MORE_LEADERS = 16
 
 
-def bucket_links(members: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
-    """(verified links, components): links (a, b), b the smaller id, between members (bucket, id) of the same
+def bucket_links(members: DataFrame, least: float, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(verified links, components): links (a, b), b the smaller id, between members (bucket, id, size) of the same
     bucket, enough of them to connect all members that are connected; and (id, component) of the ids that have links.
 
     In rounds: a bucket is dealt into 1, 16, 256, ... parts, and the most popular member of each part is a leader: that whose
@@ -24,22 +24,24 @@ def bucket_links(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
     no bucket holds members of two components: then each two members of a bucket were verified or are of one component. So
     a bucket of similar members, however large, takes one pass, and dissimilar ones take more, but none is cut short.
 
+    least: pairs whose smaller size is less than this part of the larger can't hold, and aren't verified.
     prepare: takes the ids that share a bucket with another and returns a function from distinct pairs (a, b) to those that hold."""
     # dealt by bucket once, for the count and for the join
-    every = members.select("bucket", "id").repartition("bucket")  # no member is twice in a bucket
+    every = members.select("bucket", "id", "size").repartition("bucket")  # no member is twice in a bucket
     shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    rest = stored(every.join(shared, "bucket").select("bucket", "id", "n"), "members")
+    rest = stored(every.join(shared, "bucket").select("bucket", "id", "size", "n"), "members")
     ids = stored(rest.groupBy("id").agg(F.sum("n").alias("popular")), "popular")
     verify = prepare(ids.select("id"))
-    before, rest = rest, stored(rest.join(ids, "id").select("bucket", "id", "popular", F.col("id").alias("component")), "members")
+    before, rest = rest, stored(rest.join(ids, "id").select("bucket", "id", "size", "popular", F.col("id").alias("component")), "members")
     drop_stored(before)
     links = known = tested = None
+    bound = F.least("size", "its") >= least * F.greatest("size", "its") - 1e-6
     parts = 1
     while parts == 1 or not rest.isEmpty():
         rank = F.xxhash64("id", F.lit(parts))
-        first = F.min(F.struct((-F.col("popular")).alias("p"), rank.alias("r"), F.col("id").alias("leader"), F.col("component").alias("side"))).alias("m")
-        leaders = stored(rest.groupBy("bucket", F.pmod(rank, F.lit(parts)).alias("part")).agg(first).select("bucket", "m.leader", "m.side"), "leaders")
-        asked = rest.join(leaders, "bucket").filter(F.col("component") != F.col("side")).select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
+        first = F.min(F.struct((-F.col("popular")).alias("p"), rank.alias("r"), F.col("id").alias("leader"), F.col("component").alias("side"), F.col("size").alias("its"))).alias("m")
+        leaders = stored(rest.groupBy("bucket", F.pmod(rank, F.lit(parts)).alias("part")).agg(first).select("bucket", "m.leader", "m.side", "m.its"), "leaders")
+        asked = rest.join(leaders, "bucket").filter((F.col("component") != F.col("side")) & bound).select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
         asked = stored(asked if tested is None else asked.join(tested, ["a", "b"], "left_anti"), "asked")
         tested = asked if tested is None else tested.unionByName(asked)
         new = stored(verify(asked), "links")
@@ -49,10 +51,10 @@ def bucket_links(members: DataFrame, prepare: Callable[[DataFrame], Callable[[Da
         elif not new.isEmpty():
             known = merged(known, new)
         side = known.select("id", F.col("component").alias("now"))
-        left = rest.join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "popular")
-        left = stored(left.join(side, "id", "left").select("bucket", "id", "popular", F.coalesce("now", "id").alias("component")), "open")
+        left = rest.join(leaders.select("bucket", F.col("leader").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id", "size", "popular")
+        left = stored(left.join(side, "id", "left").select("bucket", "id", "size", "popular", F.coalesce("now", "id").alias("component")), "open")
         open_ = left.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c <> d").select("bucket")
-        before, rest, parts = rest, stored(left.join(open_, "bucket").select("bucket", "id", "popular", "component"), "members"), parts * MORE_LEADERS
+        before, rest, parts = rest, stored(left.join(open_, "bucket").select("bucket", "id", "size", "popular", "component"), "members"), parts * MORE_LEADERS
         for x in (before, left, leaders):
             drop_stored(x)
     return links, known

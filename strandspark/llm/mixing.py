@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import blocks, read_table, stored
+from strandspark.llm.common import blocks, broadcast_up_to, read_table, stored
 
 #: First and last weight of the first, second, third, fourth ... source; their means are 3, 1, 2.
 SCHEDULES = ((4.0, 2.0), (0.5, 1.5), (2.0, 2.0))
 BUDGET, MOST, GROUP_ROWS, MAX_BUCKETS = 1.5, 2, 256, 1 << 20
+#: Rows of positions that are broadcast at most (32 MB).
+SENT = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -79,7 +81,7 @@ def _placed(sized: DataFrame, schedules, budget: float, most: int) -> DataFrame:
     buckets = min(MAX_BUCKETS, max(1, math.ceil(sum(r.n for r in per_source) / GROUP_ROWS)))
     rows = [(r.source, r["size"], *goal[r.source]) for r in per_source]
     table = spark.createDataFrame(rows, "source string, source_size long, target double, first_weight double, last_weight double")
-    keyed = sized.withColumn("order", F.xxhash64("doc_id")).withColumn("bucket", F.shiftrightunsigned("order", 40).cast("long") % buckets)
+    keyed = sized.withColumn("order", F.xxhash64("doc_id", "size", F.when(F.col("doc_id").isNull(), F.col("id")))).withColumn("bucket", F.shiftrightunsigned("order", 40).cast("long") % buckets)
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("before"))
@@ -108,9 +110,14 @@ def mix_sources(docs: DataFrame, schedules=SCHEDULES, budget: float = BUDGET, mo
 
 def take_mix(docs: DataFrame, schedules=SCHEDULES, budget: float = BUDGET, most: int = MOST) -> DataFrame:
     """docs, all columns, once for each reading that the mix begins, range-sorted by training position."""
-    placed = stored(_placed(_sized(docs), schedules, budget, most).select(F.col("id").alias("__id"), F.explode("positions").alias("__position")), "positions")
-    rows = docs.withColumn("__id", F.monotonically_increasing_id()).join(placed, "__id")
-    return rows.orderBy("__position").select(*docs.columns)
+    # rows get their numbers once: a second scan may be split differently
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("id"), *(F.col(c).alias(x) for c, x in own.items())), "rows")
+    sized = rows.select("id", *(F.col(own[c]).cast(t).alias(c) for c, t in (("doc_id", "long"), ("source", "string"), ("text", "string")))).mapInArrow(_sizes, "id long, doc_id long, source string, size long")
+    placed = stored(_placed(stored(sized, "sizes"), schedules, budget, most).select("id", "positions").filter(F.size("positions") > 0), "positions")
+    # texts move once, with a position; those that are read again are multiplied within the sort
+    out = rows.join(broadcast_up_to(placed, SENT), "id").select(F.explode("positions").alias("position"), *own.values())
+    return out.orderBy("position").select(*(F.col(x).alias(c) for c, x in own.items()))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

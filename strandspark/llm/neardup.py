@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from strandspark.llm.common import blocks, broadcast_up_to, drop_stored, mix, prefix_hash, read_table, span_hash, stored, words
 from strandspark.llm.graph import bucket_links
 
-#: At a similarity of 0.8 by scattered changes a third of the shingles stay, and an ordered pair agrees in about 0.04: a bucket in common with 0.9 or more.
-SHINGLE, CHOSEN, TUPLES, SIMILARITY = 5, 2, 64, 0.8
+#: At a similarity of 0.8 by scattered changes a third of the shingles stay, and an ordered pair agrees in about 0.04: a bucket in common with 0.98.
+SHINGLE, CHOSEN, TUPLES, SIMILARITY = 5, 2, 100, 0.8
 #: Longs of a bit map of words.
 MAP = 16
 #: Ids that are broadcast at most (8 MB).
@@ -287,7 +287,7 @@ def _classes(placed: DataFrame) -> DataFrame:
     every = stored(placed.mapInArrow(_sketch, "row long, doc_id long, x long, y long, n_words long, buckets array<long>, map binary"), "sketches")
     texts = every.groupBy("x", "y").agg(F.min("row").alias("row"))  # one row for each different text
     unique = stored(texts, "texts")
-    members = every.filter("n_words > 0").select("row", "buckets").join(unique.select("row"), "row").select(F.col("row").alias("id"), F.explode(F.array_distinct("buckets")).alias("bucket"))
+    members = every.filter("n_words > 0").select("row", "n_words", "buckets").join(unique.select("row"), "row").select(F.col("row").alias("id"), F.col("n_words").cast("int").alias("size"), F.explode(F.array_distinct("buckets")).alias("bucket"))
 
     def prepare(ids: DataFrame):
         sent = broadcast_up_to(ids.select(F.col("id").alias("row")), SENT)
@@ -297,13 +297,12 @@ def _classes(placed: DataFrame) -> DataFrame:
         text = lambda side: known.select(F.col("row").alias(side), F.col("text").alias(f"t{side}"))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            near = F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb") - 1e-6
-            may = stored(pairs.join(of("a"), "a").join(of("b"), "b").filter(near).mapInArrow(_prune, "a long, b long"), "candidates")
+            may = stored(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_prune, "a long, b long"), "candidates")
             return may.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_align, "a long, b long")
 
         return verify
 
-    links, of = bucket_links(members, prepare)
+    links, of = bucket_links(members, SIMILARITY, prepare)
     ends = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("links"))
     of = of.select(F.col("id").alias("row"), "component")
     named = unique.join(of, "row", "left").join(ends, "row", "left").select("x", "y", F.coalesce("component", "row").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))

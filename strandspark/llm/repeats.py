@@ -196,7 +196,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): how many bytes go, in how many runs, and the digest of what is kept."""
-    placed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    # rows get their numbers once: a second scan may be split differently
+    placed = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
     every = stored(placed.mapInArrow(_find, "row long, doc_id long, n_bytes long, x long, y long, sha string, anchors array<struct<hash:long,low:int,high:int>>"), "anchors")
     texts = stored(every.groupBy("x", "y").agg(F.min("row").alias("row"), F.count("*").alias("copies")), "texts")
     found = every.select("row", "anchors").join(texts.select("row"), "row").select("row", F.inline("anchors"))

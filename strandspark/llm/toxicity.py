@@ -4,8 +4,8 @@ Labels are per document, so the tokens' labels come first: among the words and w
 labelled sample, those that explain most toxic documents and (nearly) no clean ones are picked greedily,
 each counted only in toxic documents that no earlier pick explains; where they occur in toxic documents, tokens are labelled toxic. On these the field
 is trained (hashed features of the word and its beginnings; forward-backward expectations; adaptive gradient steps).
-Documents are cut into chains of at most CHAIN tokens; forward-backward marginals give every token a
-probability. The document's score is a logistic function, fitted on the sample, of the largest marginal's log odds; offending spans are
+In scoring, a text is one chain, however long: forward-backward marginals give every token a
+probability, computed in blocks of CHAIN tokens that pass messages on (for the fit, texts are cut into chains of CHAIN tokens). The document's score is a logistic function, fitted on the sample, of the largest marginal's log odds; offending spans are
 runs of tokens with marginals of 0.5 or more, as byte offsets.
 
 The fit uses a bounded sample: per label at most MAX_TOXIC / MAX_CLEAN documents of at most MAX_FIT_BYTES bytes, the first by a hash
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from strandspark.llm.common import blocks, mix, prefix_hash, read_table, span_hash, words
 
-BITS, CHAIN, THRESHOLD = 18, 64, 0.7
+BITS, CHAIN, THRESHOLD = 18, 128, 0.7
 BEGINNINGS = (4, 5, 6)
 MAX_TOXIC, MAX_CLEAN, MAX_FIT_BYTES = 1500, 2500, 20_000
 #: A pick explains at least this share of toxic documents (and three of them), and of documents that hold it this share is toxic.
@@ -82,6 +82,49 @@ def forward_backward(emission: np.ndarray, length: np.ndarray, trans: np.ndarray
     return (both[:, :, 1] / both.sum(2)).T, pairs
 
 
+def carried(phi: np.ndarray, inside: np.ndarray, per: np.ndarray, m: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Messages (blocks x 2) to each block's first token from those before it, and to its last token from those behind it.
+    phi: blocks x CHAIN x 2 potentials; per: each text's number of blocks; m, start: potentials of transitions and first labels."""
+    product, tail = np.broadcast_to(np.eye(2), (len(phi), 2, 2)), np.ones((len(phi), 2))
+    for t in range(phi.shape[1]):
+        step = (product * phi[:, t, None, :]) @ m
+        product = np.where(inside[:, t, None, None], step / step.sum((1, 2), keepdims=True), product)
+    for t in reversed(range(phi.shape[1])):
+        last = ~inside[:, t + 1] if t + 1 < phi.shape[1] else np.ones(len(phi), bool)
+        v = phi[:, t] * np.where(last[:, None], 1.0, tail @ m.T)
+        tail = np.where(inside[:, t, None], v / v.sum(1, keepdims=True), tail)
+    base = np.append(0, np.cumsum(per))[:-1]
+    ahead, behind, rest = np.ones((len(phi), 2)), np.ones((len(phi), 2)), tail
+    ahead[base[per > 0]] = start
+    for k in range(1, int(per.max(initial=0))):
+        at = base[per > k] + k
+        x = (ahead[at - 1][:, None, :] @ product[at - 1])[:, 0]
+        ahead[at] = x / x.sum(1, keepdims=True)
+        at = (base + per)[per > k] - 1 - k  # from the last block to the first
+        behind[at] = rest[at + 1] @ m.T
+        x = (product[at] @ rest[at + 1][:, :, None])[:, :, 0]
+        rest[at] = x / x.sum(1, keepdims=True)
+    return ahead, behind
+
+
+def block_marginals(phi: np.ndarray, length: np.ndarray, ahead: np.ndarray, behind: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """blocks x CHAIN: the probability of label 1 at each token, with the messages from other blocks."""
+    width = phi.shape[1]
+    alpha = np.empty((width, len(phi), 2))
+    alpha[0] = ahead * phi[:, 0]
+    for t in range(1, width):
+        a = (alpha[t - 1] @ m) * phi[:, t]
+        alpha[t] = a / a.sum(1, keepdims=True)
+    beta, out = behind, np.empty((len(phi), width))
+    for t in reversed(range(width)):
+        if t + 1 < width:
+            b = (phi[:, t + 1] * beta) @ m.T
+            beta = np.where((length > t + 1)[:, None], b / b.sum(1, keepdims=True), behind)
+        both = alpha[t] * beta
+        out[:, t] = both[:, 1] / both.sum(1)
+    return out
+
+
 @dataclass
 class Field:
     weights: np.ndarray
@@ -92,14 +135,18 @@ class Field:
     intercept: float = 0.0
 
     def marginals(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Each token's probability of being toxic."""
+        """Each token's probability of being toxic, in the chain of all tokens of its text.
+
+        Blocks of CHAIN tokens are run side by side; the messages that a text's other blocks send to each are carried from block to block."""
         begin, length = chains(first)
         if not len(begin):
             return np.zeros(len(x))
-        score = self.weights[x].sum(1) + self.bias
+        score = np.clip(self.weights[x].sum(1) + self.bias, -30, 30)
         at = begin[:, None] + np.arange(CHAIN)[None, :]
         inside = np.arange(CHAIN)[None, :] < length[:, None]
-        got, _ = forward_backward(np.where(inside, score[np.minimum(at, len(x) - 1)], 0.0), length, self.trans, self.start)
+        e = np.exp(np.where(inside, score[np.minimum(at, len(x) - 1)], 0.0))
+        phi, m = np.stack([np.ones_like(e), e], 2), np.exp(self.trans)
+        got = block_marginals(phi, length, *carried(phi, inside, -(-np.diff(first) // CHAIN), m, np.exp(self.start)), m)
         out = np.zeros(len(x))
         out[at[inside]] = got[inside]
         return out
@@ -215,13 +262,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+_FIELD = "weights binary, bias double, trans array<double>, start array<double>, slope double, intercept double"
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task's labelled documents (doc_id, text, toxic): the field fitted to them, in an order of their own."""
+    rows = sorted({(r["doc_id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist()})
+    field = fit([r[1] for r in rows], np.array([r[2] for r in rows]).astype(bool))
+    if field is not None:
+        values = ([field.weights.tobytes()], [field.bias], [field.trans.ravel().tolist()], [field.start.tolist()], [field.slope], [field.intercept])
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.binary(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64()), strict=True)], names=["weights", "bias", "trans", "start", "slope", "intercept"])
+
+
 def fit_sample(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Field | None:
-    """The field fitted to the first labelled documents, by a hash of doc_id, that aren't held out."""
+    """The field fitted, in one executor task, to the first labelled documents, by a hash of doc_id, that aren't held out.
+    Of documents with one doc_id and different texts, each takes part."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most").select("doc_id", "toxic")
     first = lambda kind, n: known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = F.broadcast(first(1, max_toxic).unionByName(first(0, max_clean)))  # at most max_toxic + max_clean rows
-    rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= MAX_FIT_BYTES).join(chosen, "doc_id").select("doc_id", "text", "toxic").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy().astype(bool))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.octet_length("text") <= MAX_FIT_BYTES).join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    found = rows.repartition(1).mapInArrow(_fit, _FIELD).collect()  # one row of 2 MB
+    return Field(np.frombuffer(found[0].weights, np.float64), found[0].bias, np.array(found[0].trans).reshape(2, 2), np.array(found[0].start), found[0].slope, found[0].intercept) if found else None
 
 
 _OUT = "doc_id long, score double, spans array<struct<start:long,end:long,marginal:double>>"
