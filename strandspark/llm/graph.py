@@ -11,6 +11,8 @@ from strandspark.llm.common import drop_stored, stored
 
 #: By how much the number of a bucket's leaders grows from round to round.
 MORE_LEADERS = 16
+#: Edges that a task of the union-find writes at least, so that a small graph makes few files.
+EDGES_A_TASK = 1 << 16
 
 
 def bucket_links(members: DataFrame, least: float, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +86,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        drop, edges = edges, stored(small, "edges")
+        drop, edges = edges, stored(small.coalesce(1 + before.n // EDGES_A_TASK), "edges")
         drop_stored(drop)
         after = mark(edges)
         if after == before:
