@@ -167,22 +167,19 @@ def _profile_sql() -> str:
     return f"WITH {source}, {_windows_sql(MONO_DI, 0, 'p')} SELECT seq, CAST(s AS INTEGER) AS strand, CAST(CASE WHEN s = 0 THEN x ELSE length(seq) - 6 - x END AS INTEGER) AS x, round(alpha, 6) AS alpha FROM w"
 
 
-_SHORT = f"substring({ROUND_PROBE}, 1, 12)"
-
-
 def _interactions(spark: SparkSession, d: str) -> DataFrame:
-    seqs = _lineitem(spark, d).selectExpr(f"{_SHORT} AS seq").distinct()
+    seqs = _lineitem(spark, d).selectExpr(f"{ROUND_PROBE} AS seq").distinct()
     return scoring.with_alphas(seqs, PAIRED, 0, 1).select("seq", F.round(F.col("alpha")[0], 6).alias("alpha"))
 
 
 def _interactions_sql() -> str:
-    k0, k1, n = 3, 4, 12
+    k0, k1, n = 3, 4, 32
     own = PAIRED.interaction(0)
     at = lambda s, x, k: f"(CASE WHEN {s} = 0 THEN {x} ELSE {n - k} - {x} END)"
     s0, s1 = at("u.s", "u.x", k0), at("v.s", "v.x", k1)
     spacing = f"greatest({s1} - {s0} - {k0}, {s0} - {s1} - {k1})"
     return (
-        f"WITH p AS (SELECT DISTINCT {_SHORT} AS seq FROM lineitem), {_windows_sql(PAIRED, 0, 'p', 'u')}, {_windows_sql(PAIRED, 1, 'p', 'v')},"
+        f"WITH p AS (SELECT DISTINCT {ROUND_PROBE} AS seq FROM lineitem), {_windows_sql(PAIRED, 0, 'p', 'u')}, {_windows_sql(PAIRED, 1, 'p', 'v')},"
         f" i AS (SELECT u.seq, sum(u.alpha * v.alpha) a FROM u JOIN v ON u.seq = v.seq WHERE -({spacing}) <= {own.max_overlap} AND {spacing} <= {own.max_spacing} GROUP BY u.seq),"
         " a AS (SELECT seq, sum(alpha) a FROM u GROUP BY seq), b AS (SELECT seq, sum(alpha) a FROM v GROUP BY seq)"
         f" SELECT seq, round(a.a + b.a + {math.exp(0.25)!r} * coalesce(i.a, 0), 6) AS alpha FROM a JOIN b USING (seq) LEFT JOIN i USING (seq)"
