@@ -3,32 +3,55 @@
 Both are interpolated bigram models over one vocabulary of words and are matched: the same words, order and smoothing, and
 background counts scaled to the target's number of words. The target is the documents labelled of high quality, the
 background all documents; whole texts of all of them are counted. Every different word and bigram has counts of its own, under
-64-bit hashes, in DataFrames that grow with the corpus. Each task sums its bigrams before the shuffle; words are summed from
-bigrams. A bigram's gain depends on its counts and its two words' alone, so it is computed once. The gains of the
-most frequent bigrams (at most HEAVY, 16 MB) go to the executors; a document's other bigrams are joined with theirs.
+64-bit hashes.
+
+Bigrams are never joined with their words' counts. The occurrences of a bigram are sent, packed by column, to one part, which
+counts them, takes the words' counts and returns one sum per text. The counts of frequent words (at least 1 of HEAVY, so
+at most HEAVY of them, 24 MB) are broadcast. A bigram with a rare word is dealt by that word, so that the part sees
+all its occurrences and counts it, too; only the few bigrams of two rare words are joined. A bigram that would fill
+a part (there are at most total / PART) is counted beforehand, broadcast, and dealt by text.
 
 The score is the mean over a document's words of background loss less target loss, in nats; higher: nearer to the target.
-Null or empty text, or one without words: score 0. Very long texts: whole. Repeated rows: counted and scored each.
-Null labels: no target. No target documents: all scores are 0. Empty table: no rows. Other columns are not read.
+Null or empty text, or one without words: score 0. Very long texts: whole. Repeated rows: counted and scored each; texts
+with the same 64-bit hash share a score. Null labels: no target. No target documents: all scores are 0. Empty table: no
+rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import blocks, drop_stored, mix, prefix_hash, read_table, span_hash, stored, words
+from strandspark.llm.common import blocks, broadcast_up_to, mix, prefix_hash, read_table, span_hash, stored, words
 
 BLEND, ADD = 0.6, 0.5
-#: Bigrams that make up at least this part of all are broadcast; the others are joined.
+#: Words that make up at least this part of all are broadcast.
 HEAVY = 1 << 20
 #: Words that a task counts together.
 HELD = 1 << 21
+#: Words whose bigrams meet in one part.
+PART = 1 << 22
+#: Target documents up to which their ids are broadcast; more are joined by a shuffle.
+TARGETS = 1 << 20
 _START = np.uint64(1)  # stands before the first word of a text
+_FIRST, _RARE = np.uint64(1 << 62), np.uint64(1 << 63)  # code of _START; mark of a rare word's code
+
+
+class Models(NamedTuple):
+    """The two models of docs (key, text, target): the counts of frequent words and of bigrams that would fill a part, and a table of all words."""
+
+    docs: DataFrame
+    words: DataFrame
+    total: tuple[int, int, int]  # words, of those in the target, different words
+    frequent: tuple[np.ndarray, np.ndarray, np.ndarray]  # sorted hashes, counts in all and in the target
+    full: tuple[np.ndarray, np.ndarray, np.ndarray]  # the same of bigrams, by their codes' hash
+    parts: int
 
 
 def _pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -50,115 +73,275 @@ def codes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return word, _pairs(before, word), first
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of each x in the sorted table, whether it is there)."""
+    if not len(table):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(table, x), len(table) - 1)
+    return at, table[at] == x
+
+
+def _coded(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A frequent word's place in the table, a rare word's marked hash."""
+    at, found = _find(table, hashes)
+    return np.where(found, at.astype(np.uint64), np.where(hashes == _START, _FIRST, hashes | _RARE))
+
 
-    def summed() -> Iterator[pa.RecordBatch]:
-        word, before, target = (np.concatenate(x) for x in zip(*held, strict=True))
-        _, at, of = np.unique(_pairs(before, word), return_index=True, return_inverse=True)
-        columns = [before[at].view(np.int64), word[at].view(np.int64), np.bincount(of, minlength=len(at)), np.bincount(of[target], minlength=len(at))]
-        for i in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)].astype(np.int64)) for x in columns], names=["before", "word", "n", "t"])
+def _batches(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    n = len(next(iter(columns.values())))
+    for i in range(0, n, 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in columns.values()], names=list(columns))
+
+
+def _flags(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash of each word, of the one before it, its text's place, keys, targets) of about HELD words or one longer text."""
+    held, n, texts = [], 0, 0
+
+    def joined() -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
     for batch, body, offsets in blocks(batches, "text"):
         word, before, first = _words(body, offsets)
-        held.append((word, before, np.repeat(batch.column("target").to_numpy(zero_copy_only=False).astype(bool), np.diff(first))))
-        if sum(len(x[0]) for x in held) >= HELD:
-            yield from summed()
-            held.clear()
+        held.append((word, before, np.repeat(np.arange(texts, texts + batch.num_rows), np.diff(first)), batch.column("key").to_numpy().view(np.uint64), _flags(batch)))
+        n, texts = n + len(word), texts + batch.num_rows
+        if n >= HELD:
+            yield joined()
+            held, n, texts = [], 0, 0
     if held:
-        yield from summed()
+        yield joined()
 
 
-def _gains(words_: int, targets: int, size: int):
-    """For bigrams with their counts and those of their words: background loss less target loss."""
+def _summed(names: tuple[str, str, str], choose):
+    """Counts in all and in the target of the numbers that choose takes from the words, summed by task."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-            log = []
-            for pair, single, seen, scale in (("n", "wn", "bn", targets / words_), ("t", "wt", "bt", 1.0)):
-                alone = (x[single] * scale + ADD) / (targets + ADD * size)
-                # a word whose context was never seen, or that begins a text, is predicted by its own frequency
-                before = x[seen] * scale
-                follow = x[pair] * scale / np.maximum(before, 1e-9)
-                blend = np.where(before > 0, BLEND * before / (before + 1.0), 0.0)
-                log.append(np.log(np.where(before > 0, blend * follow, 0.0) + (1 - blend) * alone))
-            pair = _pairs(x["before"].view(np.uint64), x["word"].view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pair), batch.column("n"), pa.array(log[1] - log[0])], names=["pair", "n", "gain"])
+        for word, before, text, _, target in _held(batches):
+            x, which = choose(word, before)
+            found, of = np.unique(x, return_inverse=True)
+            hit = target[text[which]]
+            yield from _batches(dict(zip(names, (found.view(np.int64), np.bincount(of, minlength=len(found)), np.bincount(of[hit], minlength=len(found))), strict=True)))
 
     return apply
 
 
-class Models:
-    """The two models, as the gain of each bigram: sorted arrays of the frequent ones and a DataFrame (pair, gain) of the rest."""
+def _gain(n, t, wn, wt, bn, bt, total: tuple[int, int, int]) -> np.ndarray:
+    """Background loss less target loss of bigrams by their counts, those of the word and those of the word before."""
+    log = []
+    for pair, single, seen, scale in ((n, wn, bn, total[1] / total[0]), (t, wt, bt, 1.0)):
+        alone = (single * scale + ADD) / (total[1] + ADD * total[2])
+        # a word whose context was never seen, or that begins a text, is predicted by its own frequency
+        before = seen * scale
+        follow = pair * scale / np.maximum(before, 1e-9)
+        blend = np.where(before > 0, BLEND * before / (before + 1.0), 0.0)
+        log.append(np.log(np.where(before > 0, blend * follow, 0.0) + (1 - blend) * alone))
+    return log[1] - log[0]
 
-    def __init__(self, gains: DataFrame, total: int) -> None:
-        frequent = F.col("n") * HEAVY >= total
-        table = gains.filter(frequent).select("pair", "gain").toArrow()  # at most HEAVY rows of 16 bytes
-        pair, gain = table.column("pair").to_numpy().view(np.uint64), table.column("gain").to_numpy()
-        order = np.argsort(pair)
-        self.frequent = pair[order], gain[order]
-        self.rest = gains.filter(~frequent).select("pair", "gain")
+
+def _sorted_counts(df: DataFrame, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    table = df.select(name, "n", "t").toArrow()
+    x, n, t = (table.column(c).to_numpy() for c in (name, "n", "t"))
+    order = np.argsort(x.view(np.uint64))
+    return x.view(np.uint64)[order], n[order], t[order]
 
 
 def train(docs: DataFrame, targets: DataFrame) -> Models | None:
     """The models of docs (doc_id, text), with the doc_ids of targets as target."""
-    marked = docs.select("doc_id", "text").join(targets.select("doc_id", F.lit(True).alias("target")).distinct(), "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    spark = docs.sparkSession
+    chosen = broadcast_up_to(stored(targets.select("doc_id", F.lit(True).alias("target")).distinct(), "targets"), TARGETS)
+    marked = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").join(chosen, "doc_id", "left").select("key", "text", F.coalesce("target", F.lit(False)).alias("target"))
     sums = [F.sum("n").alias("n"), F.sum("t").alias("t")]
-    pairs = stored(marked.mapInArrow(_count, "before long, word long, n long, t long").groupBy("before", "word").agg(*sums), "bigrams")
-    single = stored(pairs.groupBy("word").agg(*sums), "words")
+    every = lambda word, before: (word, slice(None))
+    single = stored(marked.mapInArrow(_summed(("word", "n", "t"), every), "word long, n long, t long").groupBy("word").agg(*sums), "words")
     total = single.agg(*sums, F.count("*").alias("size")).first()
     if not total.t:
         return None
-    own = single.select("word", F.col("n").alias("wn"), F.col("t").alias("wt"))
-    context = single.select(F.col("word").alias("before"), F.col("n").alias("bn"), F.col("t").alias("bt"))
-    full = pairs.join(own, "word").join(context, "before", "left").fillna(0, ["bn", "bt"])
-    gains = stored(full.mapInArrow(_gains(total.n, total.t, total.size), "pair long, n long, gain double"), "gains")
-    drop_stored(pairs)
-    drop_stored(single)
-    return Models(gains, total.n)
+    frequent = _sorted_counts(single.filter(F.col("n") * HEAVY >= total.n), "word")  # at most HEAVY rows
+    wide = np.flatnonzero(frequent[1] >= PART).astype(np.uint64)
+    none = np.zeros(0, np.int64)
+    full = none.view(np.uint64), none, none
+    if len(wide):
+        held = spark.sparkContext.broadcast((frequent[0], wide))
 
+        def both_wide(word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            table, most = held.value
+            a, b = _coded(before, table), _coded(word, table)
+            which = np.flatnonzero(np.isin(a, most) & np.isin(b, most))
+            return _pairs(a[which], b[which]), which
+
+        counted = marked.mapInArrow(_summed(("pair", "n", "t"), both_wide), "pair long, n long, t long").groupBy("pair").agg(*sums)
+        full = _sorted_counts(counted.filter(F.col("n") >= PART), "pair")  # at most total / PART rows
+    return Models(marked, single, (total.n, total.t, total["size"]), frequent, full, total.n // PART + 1)
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns compressed byte by byte of their numbers; the first is sorted, and its differences are stored."""
+    columns = (np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:])
+    raw = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in columns)
+    return struct.pack("<q", len(raw)) + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(blob: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    raw, at, out = pa.decompress(blob[8:], struct.unpack("<q", blob[:8])[0], "zstd", asbytes=True), 0, []
+    for kind in kinds:
+        wide = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * wide, at).reshape(wide, n).T).view(kind).ravel())
+        at += n * wide
+    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
+    return out
+
+
+def _deal(held, parts: int):
+    """Occurrences of bigrams, packed by the part they go to: the codes of both words, the text's place, how often in this text."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, full = held.value
+        for word, before, text, keys, target in _held(batches):
+            a, b = _coded(before, table), _coded(word, table)
+            way = np.where(b >= _RARE, b, np.where(a >= _RARE, a, _pairs(a, b)))
+            if len(full):
+                own = _find(full, _pairs(a, b))[1]
+                way[own] = keys[text[own]]
+            part = (mix(way ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(parts)).astype(np.int32)
+            order = np.lexsort((b, a, part))  # stable: a bigram's texts stay in order
+            a, b, text, part = a[order], b[order], text[order], part[order]
+            fresh = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (text[1:] != text[:-1]))) if len(a) else np.zeros(0, np.int64)
+            times = np.diff(np.append(fresh, len(a))).astype(np.uint32)
+            a, b, text, part = a[fresh], b[fresh], text[fresh], part[fresh]
+            edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
+            rows = []
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                used, of = np.unique(text[i:j], return_inverse=True)
+                rows.append((int(part[i]), int(j - i), _pack(a[i:j], b[i:j], of.astype(np.uint32), times[i:j]), len(used), keys[used].tobytes(), target[used].tobytes()))
+            for i in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + 256], strict=True), _DEALT, strict=True)], schema=_DEALT)
+
+    return apply
+
+
+_DEALT = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("entries", pa.binary()), ("n_texts", pa.int32()), ("keys", pa.binary()), ("targets", pa.binary())])
+
+
+def _part_sums(rows: list[dict], frequent: tuple, full: tuple, total: tuple[int, int, int]) -> dict[str, np.ndarray]:
+    """By text: the gains of its bigrams in this part and their number."""
+    cut = [_unpack(r["entries"], r["n"], "<u8", "<u8", "<u4", "<u4") for r in rows]
+    base = np.cumsum([0, *(r["n_texts"] for r in rows)])
+    keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows])
+    target = np.concatenate([np.frombuffer(r["targets"], bool) for r in rows])
+    before, word = (np.concatenate([c[i] for c in cut]) for i in (0, 1))
+    text = np.concatenate([c[2] + np.int64(at) for c, at in zip(cut, base, strict=False)])
+    times = np.concatenate([c[3] for c in cut]).astype(np.int64)
+    del cut
+    pair = _pairs(before, word)
+    order = np.argsort(pair, kind="stable")
+    begin = np.flatnonzero(np.append(True, np.diff(pair[order]) != 0))
+    n, t = np.add.reduceat(times[order], begin), np.add.reduceat((times * target[text])[order], begin)
+    size = np.diff(np.append(begin, len(order)))
+    which = order[begin]
+    a, b, p = before[which], word[which], pair[which]
+    at, found = _find(full[0], p)
+    if found.any():
+        n[found], t[found] = full[1][at[found]], full[2][at[found]]
+    # a rare word of this part: all its occurrences are here
+    rare = np.flatnonzero(b >= _RARE)
+    names, of = np.unique(b[rare], return_inverse=True)
+    own = tuple(np.bincount(of, x[rare], minlength=len(names)) for x in (n, t))
+
+    def counts(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, there = _find(names, code)
+        common = code < _FIRST
+        out = []
+        for known, mine in zip(frequent[1:], own, strict=True):
+            x = np.zeros(len(code))
+            x[common] = known[code[common].astype(np.int64)]
+            x[there] = mine[at[there]]
+            out.append(x)
+        return out[0], out[1]
+
+    gain = _gain(n, t, *counts(b), *counts(a), total)
+    gain[(a >= _RARE) & (b >= _RARE)] = 0.0  # these are joined
+    gain = np.repeat(gain, size)[np.argsort(order, kind="stable")]
+    # copies of a text have the same bigrams: one of them is summed
+    found, of = np.unique(keys, return_inverse=True)
+    text = of[text]
+    once = np.unique(_pairs(pair, found[text]), return_index=True)[1]
+    text, gain, times = text[once], gain[once], times[once]
+    return {"key": found.view(np.int64), "part": np.bincount(text, gain * times, len(found)), "n_words": np.bincount(text, times, len(found)).astype(np.int64)}
+
+
+def _sum_parts(held, total: tuple[int, int, int]):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if rows and rows[0]["part"] != row["part"]:
+                    yield from _batches(_part_sums(rows, *held.value, total))
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from _batches(_part_sums(rows, *held.value, total))
+
+    return apply
+
+
+def _both_rare(held):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = held.value[0]
+        for word, before, text, keys, target in _held(batches):
+            which = np.flatnonzero(~_find(table, word)[1] & ~_find(table, before)[1] & (before != _START))
+            word, before, text = word[which], before[which], text[which]
+            order = np.lexsort((word, before, text))
+            word, before, text = word[order], before[order], text[order]
+            fresh = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (before[1:] != before[:-1]) | (text[1:] != text[:-1]))) if len(word) else np.zeros(0, np.int64)
+            times = np.diff(np.append(fresh, len(word)))
+            yield from _batches({"before": before[fresh].view(np.int64), "word": word[fresh].view(np.int64), "key": keys[text[fresh]].view(np.int64), "times": times, "t": times * target[text[fresh]]})
+
+    return apply
 
-def score(docs: DataFrame, models: Models | None) -> DataFrame:
-    """doc_id, n_words and the score of each row of docs (doc_id, text), which are among those that the models have counted."""
-    held = docs.sparkSession.sparkContext.broadcast(models and models.frequent)
 
+def _joined_gains(total: tuple[int, int, int]):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, body, offsets in blocks(batches, "text"):
-            _, pair, first = codes(body, offsets)
-            n, row = np.diff(first), batch.column("row").to_numpy()
-            text = np.repeat(np.arange(len(n)), n)
-            part, other = np.zeros(len(n)), np.zeros(len(pair), bool)
-            if held.value is not None and len(pair):
-                other[:] = True
-                if len(held.value[0]):
-                    at = np.minimum(np.searchsorted(held.value[0], pair), len(held.value[0]) - 1)
-                    other = held.value[0][at] != pair
-                    part = np.bincount(text, np.where(other, 0.0, held.value[1][at]), minlength=len(n))
-            # each text has a row of its own, dealt by a key that meets no gain, and one for each other bigram
-            yield pa.RecordBatch.from_arrays([pa.array(row), batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(part), pa.array(mix(row.astype(np.uint64)).view(np.int64)), pa.array(np.zeros(len(n), np.int64))], names=names)
-            key, text = pair[other], text[other]
-            order = np.lexsort((key, text))
-            key, text = key[order], text[order]
-            fresh = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (text[1:] != text[:-1]))) if len(key) else np.zeros(0, np.int64)
-            times = np.diff(np.append(fresh, len(key)))
-            for i in range(0, len(fresh), 1 << 16):
-                f = fresh[i : i + (1 << 16)]
-                none = pa.nulls(len(f), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(row[text[f]]), none, none, pa.array(np.zeros(len(f))), pa.array(key[f].view(np.int64)), pa.array(times[i : i + (1 << 16)])], names=names)
-
-    names = ["row", "doc_id", "n_words", "part", "pair", "times"]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    parts = rows.mapInArrow(apply, "row long, doc_id long, n_words long, part double, pair long, times long")
+        for batch in batches:
+            x = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "t", "wn", "wt", "bn", "bt")]
+            yield pa.RecordBatch.from_arrays([batch.column("before"), batch.column("word"), pa.array(_gain(*x, total))], names=["before", "word", "gain"])
+
+    return apply
+
+
+def _rare_sums(models: Models, held) -> DataFrame:
+    """By text: the gains of its bigrams of two rare words."""
+    late = stored(models.docs.mapInArrow(_both_rare(held), "before long, word long, key long, times long, t long"), "rare")
+    own = models.words.select("word", F.col("n").alias("wn"), F.col("t").alias("wt"))
+    context = models.words.select(F.col("word").alias("before"), F.col("n").alias("bn"), F.col("t").alias("bt"))
+    pairs = late.groupBy("before", "word").agg(F.sum("times").alias("n"), F.sum("t").alias("t")).join(own, "word").join(context, "before")
+    gains = pairs.mapInArrow(_joined_gains(models.total), "before long, word long, gain double")
+    once = late.groupBy("before", "word", "key").agg(F.min("times").alias("times"))
+    return once.join(gains, ["before", "word"]).groupBy("key").agg(F.sum(F.col("times") * F.col("gain")).alias("part")).select("key", "part", F.lit(0).cast("long").alias("n_words"))
+
+
+def score(docs: DataFrame, models: Models | None) -> DataFrame:
+    """doc_id, n_words and the score of each row of docs (doc_id, text), which are among those that the models have counted."""
     if models is None:
-        return parts.select("doc_id", "n_words", F.col("part").alias("score"))
-    uncounted = F.when(F.col("times") == 0, F.lit(0.0)).otherwise(F.raise_error(F.lit("a document that the models have not counted")).cast("double"))
-    sums = parts.join(models.rest, "pair", "left").select("row", "doc_id", "n_words", (F.col("part") + F.col("times") * F.coalesce("gain", uncounted)).alias("part"))
-    out = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.sum("part").alias("part"))
+        return docs.select("doc_id", "text").mapInArrow(_lengths, "doc_id long, n_words long").withColumn("score", F.lit(0.0))
+    send = docs.sparkSession.sparkContext.broadcast
+    dealt = models.docs.mapInArrow(_deal(send((models.frequent[0], models.full[0])), models.parts), "part int, n int, entries binary, n_texts int, keys binary, targets binary")
+    dealt = dealt.repartition(models.parts, "part").sortWithinPartitions("part")
+    sums = dealt.mapInArrow(_sum_parts(send((models.frequent, models.full)), models.total), "key long, part double, n_words long")
+    sums = sums.unionByName(_rare_sums(models, send((models.frequent[0],)))).groupBy("key").agg(F.sum("part").alias("part"), F.sum("n_words").alias("n_words"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False)).alias("some"))
+    known = F.when(F.col("some") & F.col("n_words").isNull(), F.raise_error(F.lit("a document that the models have not counted")).cast("long")).otherwise(F.coalesce("n_words", F.lit(0)))
+    out = rows.join(sums, "key", "left").select(F.col("doc_id").cast("long").alias("doc_id"), known.alias("n_words"), "part")
     return out.select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("part") / F.col("n_words")).otherwise(0.0).alias("score"))
 
 
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, body, offsets in blocks(batches, "text"):
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(words(body, offsets)[3]))], names=["doc_id", "n_words"])
+
+
 def op2_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     good = read_table(spark, sf_dir, "labels").filter("quality = 1")

@@ -125,13 +125,16 @@ def test_scoring_brute(spark):
     assert min(got[i] for i in good) > max(got[i] for i in range(4, 30))
 
 
-@pytest.mark.parametrize("heavy", [scoring.HEAVY, 16])
-def test_scoring_counts_real_ngrams(spark, monkeypatch, heavy):
-    # by the words themselves: enough of them to meet in tables of 2^20 words and 2^22 bigrams
-    monkeypatch.setattr(scoring, "HEAVY", heavy)
+@pytest.mark.parametrize(("heavy", "part", "targets"), [(scoring.HEAVY, scoring.PART, scoring.TARGETS), (16, 5000, 1), (8000, 1000, 100), (1, 3000, 100)])
+def test_scoring_counts_real_ngrams(spark, monkeypatch, heavy, part, targets):
+    # by the words themselves: enough of them to meet in tables of 2^20 words and 2^22 bigrams; frequent and rare words, bigrams
+    # that fill a part, copies of a text
+    for name, value in (("HEAVY", heavy), ("PART", part), ("TARGETS", targets)):
+        monkeypatch.setattr(scoring, name, value)
     rng = random.Random(12)
     vocabulary = [_sentence(rng, 1) + str(k) for k in range(8000)]
     docs = {i: [rng.choice(vocabulary) for _ in range(400)] + ["common", "pair"] * 40 for i in range(60)}
+    docs |= {60: docs[3], 61: docs[30], 62: docs[30]}
     good = set(range(10))
     one, two = [Counter(), Counter()], [Counter(), Counter()]
     for i, w in docs.items():
@@ -148,7 +151,7 @@ def test_scoring_counts_real_ngrams(spark, monkeypatch, heavy):
 
     df = _docs(spark, [(i, " ".join(w)) for i, w in docs.items()])
     got = {r.doc_id: r.score for r in scoring.score(df, scoring.train(df, spark.createDataFrame([(i,) for i in good], "doc_id long"))).collect()}
-    assert len(got) == 60
+    assert len(got) == len(docs)
     for i, w in docs.items():
         assert got[i] == pytest.approx(np.mean([loss(0, ratio, a, b) - loss(1, 1.0, a, b) for a, b in zip([None, *w], w, strict=False)]), abs=1e-9)
 
