@@ -5,13 +5,15 @@ afterwards, on one row per k-mer."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandspark.functions.alphabet import DNA, Alphabet
 
 #: Largest universe of k-mers that is written out with its zeros.
 MAX_UNIVERSE = 1 << 21
+#: Bins of a k-mer's histogram for its median, and cells of all histograms.
+MEDIAN_BINS, MEDIAN_CELLS = 1 << 12, 1 << 18
 
 
 def kmer_universe(spark: SparkSession, k: int, alphabet: Alphabet = DNA) -> DataFrame:
@@ -71,14 +73,32 @@ def kmer_average(df: DataFrame, k: int = 8, forward_only: bool = False, pseudoco
 
 
 def kmer_median(df: DataFrame, k: int = 8, alphabet: Alphabet = DNA, seq: str = "seq", value: str = "value", forward_only: bool = False) -> DataFrame:
-    """Exact median of a value over a k-mer's occurrences on both strands; null without any."""
-    found = windows(df, k, alphabet, seq, [value])
-    if not forward_only:
-        found = found.unionByName(found.select(value, alphabet.revcomp(F.col("kmer")).alias("kmer")))
-    # equal values of a k-mer are counted before the shuffle
-    counted = found.groupBy("kmer", value).agg(F.count("*").alias("n"))
-    medians = counted.groupBy("kmer").agg(F.percentile(value, F.lit(0.5), F.col("n")).alias("median"))
-    return kmer_universe(df.sparkSession, k, alphabet).select("kmer").join(medians, "kmer", "left")
+    """Exact median of a value over a k-mer's occurrences on both strands; null without any. Null values are left out.
+
+    A histogram per k-mer finds the bins of the two middle values; only occurrences in those bins are sorted."""
+    given = df.filter(F.col(value).isNotNull()).select(seq, F.col(value).cast("double").alias("__v"))
+    finite = F.when(F.abs("__v") < float("inf"), F.col("__v"))
+    ends = given.agg(F.min(finite).alias("a"), F.max(finite).alias("b")).first()
+    low, high = ends.a or 0.0, ends.b or 0.0
+    bins = max(1, min(MEDIAN_BINS, MEDIAN_CELLS // len(alphabet.order) ** k))
+    share = F.coalesce(F.try_divide(F.col("__v") / bins - low / bins, F.lit(high / bins - low / bins)), F.lit(0.0))
+    binned = F.when(F.col("__v") >= high, bins).when(F.col("__v") <= low, 0).otherwise(F.floor(share * bins)).cast("int")  # NaN is largest
+    found = windows(given.withColumn("__bin", binned), k, alphabet, seq, ["__v", "__bin"])
+    turned = lambda x: x.withColumn("kmer", alphabet.revcomp(F.col("kmer")))
+    both = lambda x: x if forward_only else x.unionByName(turned(x))
+    histogram = both(found.groupBy("kmer", "__bin").agg(F.count("*").alias("n"))).groupBy("kmer", "__bin").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy("kmer").orderBy("__bin")
+    ranks = histogram.withColumns({"__to": F.sum("n").over(upto), "__all": F.sum("n").over(Window.partitionBy("kmer"))}).withColumns({"__from": F.col("__to") - F.col("n"), "__lo": F.floor((F.col("__all") - 1) / 2), "__hi": F.floor(F.col("__all") / 2)})
+    middle = ranks.filter("(__from <= __lo AND __lo < __to) OR (__from <= __hi AND __hi < __to)")
+    middle = middle.select("kmer", "__bin", "__lo", "__hi", F.min("__from").over(Window.partitionBy("kmer")).alias("__from"))
+    wanted = both(middle.select("kmer", "__bin")).distinct()
+    counted = found.join(wanted, ["kmer", "__bin"], "left_semi").groupBy("kmer", "__bin", "__v").agg(F.count("*").alias("n"))
+    counted = both(counted).groupBy("kmer", "__bin", "__v").agg(F.sum("n").alias("n")).join(middle, ["kmer", "__bin"])
+    reached = counted.withColumn("__to", F.col("__from") + F.sum("n").over(Window.partitionBy("kmer").orderBy("__v")))
+    first = lambda rank: F.min(F.when(F.col("__to") > F.col(rank), F.col("__v")))
+    medians = reached.groupBy("kmer").agg(first("__lo").alias("__a"), first("__hi").alias("__b"))
+    median = F.when(F.col("__a") == F.col("__b"), F.col("__a")).otherwise(F.col("__a") / 2 + F.col("__b") / 2)
+    return kmer_universe(df.sparkSession, k, alphabet).select("kmer").join(medians, "kmer", "left").select("kmer", median.alias("median"))
 
 
 def position_letter_count(df: DataFrame, alphabet: Alphabet = DNA, seq: str = "seq", weight: str | None = None) -> DataFrame:

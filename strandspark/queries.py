@@ -113,13 +113,20 @@ def _windows_sql(model: Model, i: int, source: str, name: str = "w", left: str =
 
 
 _DISTINCT = f"p AS (SELECT DISTINCT {PROBE} AS seq FROM lineitem)"
+
+
+def _each(probe: str, select: str) -> str:
+    """A selection by different probes, as one row per row of lineitem."""
+    head, _, tail = select.rpartition(" SELECT seq, ")
+    return f"{head}, r AS (SELECT seq, {tail}) SELECT r.* FROM (SELECT {probe} AS seq FROM lineitem) e JOIN r USING (seq)"
+
+
 _COUNTS_SQL = "c AS (SELECT " + ROUND_PROBE + " AS seq, " + ", ".join(f"CAST(sum(CASE WHEN l_returnflag = '{r}' THEN 1 ELSE 0 END) AS BIGINT) AS c{i}" for i, r in enumerate(ROUNDS)) + " FROM lineitem GROUP BY 1)"
 
 
 def _score_query(model: Model, how: str = "sum", **more):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        # equal probes are scored once
-        seqs = _probes(spark, d).distinct()
+        seqs = _probes(spark, d)
         return scoring.binding_mode_scores(seqs, model, how, **more).select("seq", F.round("score_0", 6).alias("score"))
 
     return run
@@ -127,12 +134,12 @@ def _score_query(model: Model, how: str = "sum", **more):
 
 def _score_sql(model: Model, how: str = "sum", left: str = "", right: str = "") -> str:
     value = {"sum": "sum(alpha)", "max": "max(alpha)", "mean": "avg(alpha)"}[how]
-    return f"WITH {_DISTINCT}, {_windows_sql(model, 0, 'p', left=left, right=right)} SELECT seq, round({value}, 6) AS score FROM w GROUP BY seq"
+    return _each(PROBE, f"WITH {_DISTINCT}, {_windows_sql(model, 0, 'p', left=left, right=right)} SELECT seq, round({value}, 6) AS score FROM w GROUP BY seq")
 
 
 def _affinity_query(model: Model):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        seqs = _probes(spark, d).distinct()
+        seqs = _probes(spark, d)
         return scoring.affinity_sum(seqs, model, strict=False).select("seq", F.round("affinity_sum", 6).alias("affinity"))
 
     return run
@@ -149,12 +156,12 @@ def _affinity_sql(model: Model) -> str:
             parts.append(f"a{i} AS (SELECT seq, sum(alpha) a FROM w{i}_ GROUP BY seq)")
             sums.append(f"{a!r} * a{i}.a")
     joins = " ".join(f"JOIN a{i} USING (seq)" for i in range(model.modes) if model.settings["bindingModes"][i]["size"])
-    return f"WITH {_DISTINCT}, {', '.join(parts)} SELECT seq, round({' + '.join(sums)}, 6) AS affinity FROM p {joins}"
+    return _each(PROBE, f"WITH {_DISTINCT}, {', '.join(parts)} SELECT seq, round({' + '.join(sums)}, 6) AS affinity FROM p {joins}")
 
 
 def _biased_sql() -> str:
     bias = ", ".join(f"({s}, {x}, {v!r})" for s, row in enumerate(BIAS[0]) for x, v in enumerate(row))
-    return f"WITH {_DISTINCT}, {_windows_sql(BIASED, 0, 'p')}, b(s, x, v) AS (VALUES {bias}) SELECT seq, round(sum(alpha * exp(b.v)), 6) AS affinity FROM w JOIN b USING (s, x) GROUP BY seq"
+    return _each(PROBE, f"WITH {_DISTINCT}, {_windows_sql(BIASED, 0, 'p')}, b(s, x, v) AS (VALUES {bias}) SELECT seq, round(sum(alpha * exp(b.v)), 6) AS affinity FROM w JOIN b USING (s, x) GROUP BY seq")
 
 
 def _profile(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +175,7 @@ def _profile_sql() -> str:
 
 
 def _interactions(spark: SparkSession, d: str) -> DataFrame:
-    seqs = _lineitem(spark, d).selectExpr(f"{ROUND_PROBE} AS seq").distinct()
+    seqs = _lineitem(spark, d).selectExpr(f"{ROUND_PROBE} AS seq")
     return scoring.with_alphas(seqs, PAIRED, 0, 1).select("seq", F.round(F.col("alpha")[0], 6).alias("alpha"))
 
 
@@ -178,11 +185,12 @@ def _interactions_sql() -> str:
     at = lambda s, x, k: f"(CASE WHEN {s} = 0 THEN {x} ELSE {n - k} - {x} END)"
     s0, s1 = at("u.s", "u.x", k0), at("v.s", "v.x", k1)
     spacing = f"greatest({s1} - {s0} - {k0}, {s0} - {s1} - {k1})"
-    return (
+    return _each(
+        ROUND_PROBE,
         f"WITH p AS (SELECT DISTINCT {ROUND_PROBE} AS seq FROM lineitem), {_windows_sql(PAIRED, 0, 'p', 'u')}, {_windows_sql(PAIRED, 1, 'p', 'v')},"
         f" i AS (SELECT u.seq, sum(u.alpha * v.alpha) a FROM u JOIN v ON u.seq = v.seq WHERE -({spacing}) <= {own.max_overlap} AND {spacing} <= {own.max_spacing} GROUP BY u.seq),"
         " a AS (SELECT seq, sum(alpha) a FROM u GROUP BY seq), b AS (SELECT seq, sum(alpha) a FROM v GROUP BY seq)"
-        f" SELECT seq, round(a.a + b.a + {math.exp(0.25)!r} * coalesce(i.a, 0), 6) AS alpha FROM a JOIN b USING (seq) LEFT JOIN i USING (seq)"
+        f" SELECT seq, round(a.a + b.a + {math.exp(0.25)!r} * coalesce(i.a, 0), 6) AS alpha FROM a JOIN b USING (seq) LEFT JOIN i USING (seq)",
     )
 
 

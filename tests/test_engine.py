@@ -119,3 +119,25 @@ def test_stream_scores_as_batch(spark, tmp_path):
     scores.to_files(out, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = {r.seq: r.score_0 for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got["ACGT"] == pytest.approx(3.60474439, abs=1e-7) and got["AACG"] == pytest.approx(1.99423249, abs=1e-7)
+
+
+@pytest.mark.parametrize("forward_only", [True, False])
+def test_median_brute(spark, monkeypatch, forward_only):
+    rng = np.random.default_rng(3)
+    rows = [("".join(rng.choice(list("ACGTN"), 9)), float(v)) for v in [*rng.normal(size=60), *[2.5] * 20, 1e300, -1e300, math.inf, -math.inf]] + [("ACGTACGT", None)]
+    seen = {}
+    for seq, value in rows:
+        for i in range(len(seq) - 1):
+            word = seq[i : i + 2]
+            if "N" not in word and value is not None:
+                turned = word[::-1].translate(str.maketrans("ACGT", "TGCA"))
+                for w in [word] if forward_only else [word, turned]:
+                    seen.setdefault(w, []).append(value)
+    for bins in (1, 3, 4096):
+        monkeypatch.setattr(kmers, "MEDIAN_BINS", bins)
+        got = kmers.kmer_median(spark.createDataFrame(rows, "seq string, value double"), 2, forward_only=forward_only).collect()
+        assert len(got) == 16
+        for r in got:
+            assert r.median == pytest.approx(np.median(seen[r.kmer])) if r.kmer in seen else r.median is None
+    empty = spark.createDataFrame([], "seq string, value double")
+    assert {r.median for r in kmers.kmer_median(empty, 2).collect()} == {None}
