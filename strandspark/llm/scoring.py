@@ -33,10 +33,10 @@ from strandspark.llm.common import blocks, broadcast_up_to, mix, prefix_hash, re
 BLEND, ADD = 0.6, 0.5
 #: Words that make up at least this part of all are broadcast.
 HEAVY = 1 << 20
-#: Words that a task counts together.
-HELD = 1 << 21
+#: Words that a task counts together, and those whose bigrams it packs together.
+HELD, PACKED = 1 << 21, 1 << 19
 #: Words whose bigrams meet in one part.
-PART = 1 << 22
+PART = 1 << 21
 #: Target documents up to which their ids are broadcast; more are joined by a shuffle.
 TARGETS = 1 << 20
 _START = np.uint64(1)  # stands before the first word of a text
@@ -97,8 +97,8 @@ def _flags(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column("target").to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(hash of each word, of the one before it, its text's place, keys, targets) of about HELD words or one longer text."""
+def _held(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash of each word, of the one before it, its text's place, keys, targets) of about that many words or one longer text."""
     held, n, texts = [], 0, 0
 
     def joined() -> tuple[np.ndarray, ...]:
@@ -108,7 +108,7 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
         word, before, first = _words(body, offsets)
         held.append((word, before, np.repeat(np.arange(texts, texts + batch.num_rows), np.diff(first)), batch.column("key").to_numpy().view(np.uint64), _flags(batch)))
         n, texts = n + len(word), texts + batch.num_rows
-        if n >= HELD:
+        if n >= size:
             yield joined()
             held, n, texts = [], 0, 0
     if held:
@@ -119,7 +119,7 @@ def _summed(names: tuple[str, str, str], choose):
     """Counts in all and in the target of the numbers that choose takes from the words, summed by task."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for word, before, text, _, target in _held(batches):
+        for word, before, text, _, target in _held(batches, HELD):
             x, which = choose(word, before)
             found, of = np.unique(x, return_inverse=True)
             hit = target[text[which]]
@@ -199,7 +199,7 @@ def _deal(held, parts: int):
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, full = held.value
-        for word, before, text, keys, target in _held(batches):
+        for word, before, text, keys, target in _held(batches, PACKED):
             a, b = _coded(before, table), _coded(word, table)
             way = np.where(b >= _RARE, b, np.where(a >= _RARE, a, _pairs(a, b)))
             if len(full):
@@ -242,6 +242,7 @@ def _part_sums(rows: list[dict], frequent: tuple, full: tuple, total: tuple[int,
     size = np.diff(np.append(begin, len(order)))
     which = order[begin]
     a, b, p = before[which], word[which], pair[which]
+    del before, word, which
     at, found = _find(full[0], p)
     if found.any():
         n[found], t[found] = full[1][at[found]], full[2][at[found]]
@@ -263,12 +264,14 @@ def _part_sums(rows: list[dict], frequent: tuple, full: tuple, total: tuple[int,
 
     gain = _gain(n, t, *counts(b), *counts(a), total)
     gain[(a >= _RARE) & (b >= _RARE)] = 0.0  # these are joined
-    gain = np.repeat(gain, size)[np.argsort(order, kind="stable")]
+    spread = np.empty(len(order))
+    spread[order] = np.repeat(gain, size)
+    del order, begin
     # copies of a text have the same bigrams: one of them is summed
     found, of = np.unique(keys, return_inverse=True)
     text = of[text]
     once = np.unique(_pairs(pair, found[text]), return_index=True)[1]
-    text, gain, times = text[once], gain[once], times[once]
+    text, gain, times = text[once], spread[once], times[once]
     return {"key": found.view(np.int64), "part": np.bincount(text, gain * times, len(found)), "n_words": np.bincount(text, times, len(found)).astype(np.int64)}
 
 
@@ -290,7 +293,7 @@ def _sum_parts(held, total: tuple[int, int, int]):
 def _both_rare(held):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value[0]
-        for word, before, text, keys, target in _held(batches):
+        for word, before, text, keys, target in _held(batches, PACKED):
             which = np.flatnonzero(~_find(table, word)[1] & ~_find(table, before)[1] & (before != _START))
             word, before, text = word[which], before[which], text[which]
             order = np.lexsort((word, before, text))
