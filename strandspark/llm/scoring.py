@@ -9,9 +9,12 @@ Bigrams are never joined with their words' counts. The occurrences of a bigram a
 counts them, takes the words' counts and returns one sum per text. The counts of frequent words (at least 1 of HEAVY, so
 at most HEAVY of them, 24 MB) are broadcast. A bigram with a rare word is dealt by that word, so that the part sees
 all its occurrences and counts it, too; only the few bigrams of two rare words are joined. A bigram that would fill
-a part (there are at most total / PART) is counted beforehand, broadcast, and dealt by text.
+a part (there are at most total / PART) is counted beforehand, broadcast, and dealt by text. The sums of a part go back
+to the blocks of texts that its bigrams came from, in some 5 bytes each. A text has at most one sum
+in each part, so their number grows with the parts, until there is one for each of the text's different bigrams.
 
 The score is the mean over a document's words of background loss less target loss, in nats; higher: nearer to the target.
+Sums travel to the nearest 2^-33, at most one for each word, so scores are within 1e-10.
 Null or empty text, or one without words: score 0. Very long texts: whole. Repeated rows: counted and scored each; texts
 with the same 64-bit hash share a score. Null labels: no target. No target documents: all scores are 0. Empty table: no
 rows. Other columns are not read.
@@ -19,12 +22,14 @@ rows. Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +42,8 @@ HEAVY = 1 << 20
 HELD, PACKED = 1 << 21, 1 << 19
 #: Words whose bigrams meet in one part.
 PART = 1 << 21
+#: Sums travel to the nearest 2^-FINE.
+FINE = 33
 #: Target documents up to which their ids are broadcast; more are joined by a shuffle.
 TARGETS = 1 << 20
 _START = np.uint64(1)  # stands before the first word of a text
@@ -184,6 +191,23 @@ def _pack(*columns: np.ndarray) -> bytes:
     return struct.pack("<q", len(raw)) + pa.compress(raw, "zstd", asbytes=True)
 
 
+def _fixed(x: np.ndarray) -> bytes:
+    """Sums to the nearest 2^-FINE, byte by byte of their numbers; huge ones as they are."""
+    if np.abs(x).max() >= 1 << (62 - FINE):
+        return b"d" + x.tobytes()
+    whole = np.rint(x * (1 << FINE)).astype(np.int64)
+    planes = ((whole << 1) ^ (whole >> 63)).view(np.uint8).reshape(len(x), 8).T
+    return b"f" + pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
+def _unfixed(blob: bytes, n: int) -> np.ndarray:
+    if blob[:1] == b"d":
+        return np.frombuffer(blob, "<f8", n, 1)
+    planes = np.frombuffer(pa.decompress(blob[1:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    zig = np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+    return ((zig >> np.uint64(1)).astype(np.int64) ^ -(zig & np.uint64(1)).astype(np.int64)) / (1 << FINE)
+
+
 def _unpack(blob: bytes, n: int, *kinds: str) -> list[np.ndarray]:
     raw, at, out = pa.decompress(blob[8:], struct.unpack("<q", blob[:8])[0], "zstd", asbytes=True), 0, []
     for kind in kinds:
@@ -195,11 +219,16 @@ def _unpack(blob: bytes, n: int, *kinds: str) -> list[np.ndarray]:
 
 
 def _deal(held, parts: int):
-    """Occurrences of bigrams, packed by the part they go to: the codes of both words, the text's place, how often in this text."""
+    """Occurrences of bigrams, packed by the part they go to: the codes of both words, the text's place, how often in this text.
+    Each block of texts also sends a head, of part -1: the keys and numbers of words of its texts."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, full = held.value
-        for word, before, text, keys, target in _held(batches, PACKED):
+        task = TaskContext.get().partitionId()
+        for number, (word, before, text, keys, target) in enumerate(_held(batches, PACKED)):
+            # a block is told apart by its texts too: parts of two runs of a task whose rows came in another order never meet
+            name = np.array([len(keys), task, number], np.uint64)
+            block = int(mix(np.frombuffer(hashlib.blake2b(keys.tobytes() + name.tobytes(), digest_size=8).digest(), np.uint64)).view(np.int64)[0])
             a, b = _coded(before, table), _coded(word, table)
             way = np.where(b >= _RARE, b, np.where(a >= _RARE, a, _pairs(a, b)))
             if len(full):
@@ -210,26 +239,31 @@ def _deal(held, parts: int):
             a, b, text, part = a[order], b[order], text[order], part[order]
             fresh = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (text[1:] != text[:-1]))) if len(a) else np.zeros(0, np.int64)
             times = np.diff(np.append(fresh, len(a))).astype(np.uint32)
+            n_words = np.bincount(text, minlength=len(keys)).astype(np.uint32)
             a, b, text, part = a[fresh], b[fresh], text[fresh], part[fresh]
             edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
-            rows = []
+            rows = [(-1, block, 0, _pack(n_words), len(keys), keys.tobytes(), b"")]
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 used, of = np.unique(text[i:j], return_inverse=True)
-                rows.append((int(part[i]), int(j - i), _pack(a[i:j], b[i:j], of.astype(np.uint32), times[i:j]), len(used), keys[used].tobytes(), target[used].tobytes()))
-            for i in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + 256], strict=True), _DEALT, strict=True)], schema=_DEALT)
+                rows.append((int(part[i]), block, int(j - i), _pack(a[i:j], b[i:j], of.astype(np.uint32), times[i:j]), len(used), _pack(used.astype(np.uint32)), target[used].tobytes()))
+            yield from _rows(rows, _DEALT)
 
     return apply
 
 
-_DEALT = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("entries", pa.binary()), ("n_texts", pa.int32()), ("keys", pa.binary()), ("targets", pa.binary())])
+def _rows(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 256):
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[i : i + 256], strict=True), schema, strict=True)], schema=schema)
+
+
+_DEALT = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("n", pa.int32()), ("entries", pa.binary()), ("n_texts", pa.int32()), ("texts", pa.binary()), ("targets", pa.binary())])
+_SENT = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("n", pa.int32()), ("texts", pa.binary()), ("sums", pa.binary())])
 
 
-def _part_sums(rows: list[dict], frequent: tuple, full: tuple, total: tuple[int, int, int]) -> dict[str, np.ndarray]:
-    """By text: the gains of its bigrams in this part and their number."""
+def _part_sums(rows: list[dict], frequent: tuple, full: tuple, total: tuple[int, int, int]) -> Iterator[np.ndarray]:
+    """For each row the gains of its texts' bigrams in this part."""
     cut = [_unpack(r["entries"], r["n"], "<u8", "<u8", "<u4", "<u4") for r in rows]
     base = np.cumsum([0, *(r["n_texts"] for r in rows)])
-    keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows])
     target = np.concatenate([np.frombuffer(r["targets"], bool) for r in rows])
     before, word = (np.concatenate([c[i] for c in cut]) for i in (0, 1))
     text = np.concatenate([c[2] + np.int64(at) for c, at in zip(cut, base, strict=False)])
@@ -242,7 +276,7 @@ def _part_sums(rows: list[dict], frequent: tuple, full: tuple, total: tuple[int,
     size = np.diff(np.append(begin, len(order)))
     which = order[begin]
     a, b, p = before[which], word[which], pair[which]
-    del before, word, which
+    del before, word, which, pair
     at, found = _find(full[0], p)
     if found.any():
         n[found], t[found] = full[1][at[found]], full[2][at[found]]
@@ -266,30 +300,59 @@ def _part_sums(rows: list[dict], frequent: tuple, full: tuple, total: tuple[int,
     gain[(a >= _RARE) & (b >= _RARE)] = 0.0  # these are joined
     spread = np.empty(len(order))
     spread[order] = np.repeat(gain, size)
-    del order, begin
-    # copies of a text have the same bigrams: one of them is summed
-    found, of = np.unique(keys, return_inverse=True)
-    text = of[text]
-    once = np.unique(_pairs(pair, found[text]), return_index=True)[1]
-    text, gain, times = text[once], spread[once], times[once]
-    return {"key": found.view(np.int64), "part": np.bincount(text, gain * times, len(found)), "n_words": np.bincount(text, times, len(found)).astype(np.int64)}
+    sums = np.bincount(text, spread * times, base[-1])
+    return (sums[i:j] for i, j in zip(base[:-1], base[1:], strict=True))
 
 
 def _sum_parts(held, total: tuple[int, int, int]):
+    """The sums of each part on their way back to the blocks of texts; heads pass."""
+
+    def sent(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        out = [(r["block"], r["part"], r["n_texts"], r["texts"], _fixed(gain)) for r, gain in zip(rows, _part_sums(rows, *held.value, total), strict=True)]
+        yield from _rows(out, _SENT)
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
         for batch in batches:
+            heads = []
             for row in batch.to_pylist():
+                if row["part"] < 0:
+                    heads.append((row["block"], -1, row["n_texts"], row["texts"], row["entries"]))
+                    continue
                 if rows and rows[0]["part"] != row["part"]:
-                    yield from _batches(_part_sums(rows, *held.value, total))
+                    yield from sent(rows)
                     rows = []
                 rows.append(row)
+            yield from _rows(heads, _SENT)
         if rows:
-            yield from _batches(_part_sums(rows, *held.value, total))
+            yield from sent(rows)
 
     return apply
 
 
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of all parts by text, block by block; the head of a block comes first."""
+    block, keys, n_words, gain = None, None, None, None
+
+    def done() -> Iterator[pa.RecordBatch]:
+        found, first = np.unique(keys, return_index=True)  # copies of a text have equal sums
+        yield from _batches({"key": found.view(np.int64), "part": gain[first], "n_words": n_words[first].astype(np.int64)})
+
+    for batch in batches:
+        for row in zip(*(batch.column(name) for name in ("block", "part", "n", "texts", "sums")), strict=True):
+            own, part, n, texts, sums = (x.as_py() for x in row)
+            if part < 0:
+                if block is not None:
+                    yield from done()
+                block, keys, (n_words,), gain = own, np.frombuffer(texts, "<u8"), _unpack(sums, n, "<u4"), np.zeros(n)
+            elif own != block:
+                raise RuntimeError("sums of a block of texts whose head is missing: its rows came in another order when a lost task ran again")
+            else:
+                gain[_unpack(texts, n, "<u4")[0]] += _unfixed(sums, n)
+    if block is not None:
+        yield from done()
+
+
 def _both_rare(held):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = held.value[0]
@@ -330,10 +393,16 @@ def score(docs: DataFrame, models: Models | None) -> DataFrame:
     if models is None:
         return docs.select("doc_id", "text").mapInArrow(_lengths, "doc_id long, n_words long").withColumn("score", F.lit(0.0))
     send = docs.sparkSession.sparkContext.broadcast
-    dealt = models.docs.mapInArrow(_deal(send((models.frequent[0], models.full[0])), models.parts), "part int, n int, entries binary, n_texts int, keys binary, targets binary")
-    dealt = dealt.repartition(models.parts, "part").sortWithinPartitions("part")
-    sums = dealt.mapInArrow(_sum_parts(send((models.frequent, models.full)), models.total), "key long, part double, n_words long")
-    sums = sums.unionByName(_rare_sums(models, send((models.frequent[0],)))).groupBy("key").agg(F.sum("part").alias("part"), F.sum("n_words").alias("n_words"))
+    ddl = "part int, block long, n int, entries binary, n_texts int, texts binary, targets binary"
+    dealt = models.docs.mapInArrow(_deal(send((models.frequent[0], models.full[0])), models.parts), ddl)
+    # heads are spread by their blocks
+    dealt = dealt.repartition(models.parts, F.when(F.col("part") >= 0, F.col("part").cast("long")).otherwise(F.col("block"))).sortWithinPartitions("part")
+    sums = dealt.mapInArrow(_sum_parts(send((models.frequent, models.full)), models.total), "block long, part int, n int, texts binary, sums binary")
+    sums = sums.repartition(models.parts // 4 + 1, "block").sortWithinPartitions("block", "part").mapInArrow(_unite, "key long, part double, n_words long")
+    late = _rare_sums(models, send((models.frequent[0],)))
+    one = lambda c: F.when(F.col("n_words") > 0, F.col(c))
+    rare = F.coalesce(F.sum(F.when(F.col("n_words") == 0, F.col("part"))), F.lit(0.0))
+    sums = sums.filter("n_words > 0").unionByName(late).groupBy("key").agg((F.min(one("part")) + rare).alias("part"), F.max("n_words").alias("n_words"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.coalesce(F.col("text").rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False)).alias("some"))
     known = F.when(F.col("some") & F.col("n_words").isNull(), F.raise_error(F.lit("a document that the models have not counted")).cast("long")).otherwise(F.coalesce("n_words", F.lit(0)))
     out = rows.join(sums, "key", "left").select(F.col("doc_id").cast("long").alias("doc_id"), known.alias("n_words"), "part")
