@@ -332,14 +332,11 @@ QUERIES = {
     "score_position_bias": _affinity_query(BIASED),
     "affinity_sum": _affinity_query(SEVERAL),
     "interaction_sum": _interactions,
-    "coefficients": lambda s, d: _coefficients(s, MONO_DI),
     "mono_information": lambda s, d: s.createDataFrame([(i, round(x, 6)) for i, x in enumerate(transforms.mono_information(MONO))], "mode int, bits double"),
     "expected_alpha": lambda s, d: s.createDataFrame([(round(transforms.expected_alpha(MONO.motif(0)), 6),)], "alpha double"),
     "mismatch_gauge": lambda s, d: _rounded(_coefficients(s, transforms.set_mismatch_gauge(MONO)).select("x", "l1", "beta"), "beta"),
     "add_n": lambda s, d: _rounded(_coefficients(s, transforms.add_n_scoring(MONO)).filter("l1 = 'N'").select("x", "beta"), "beta"),
-    "consensus": lambda s, d: s.createDataFrame([(i, round(float(transforms.build_consensus(SEVERAL).activity(i)[0]), 6)) for i in range(3)], "mode int, activity double"),
     "reservoir_sample": _sampled,
-    "empirical_activity": _empirical,
 } | {name: _predicted(model) for name, model in ENRICHED.items()}
 
 

@@ -8,7 +8,9 @@ import pandas as pd
 import pytest
 from conftest import DATA
 
-from strandspark.queries import QUERIES, SQL
+from strandspark import queries, queries_models
+
+QUERIES, SQL = queries.QUERIES | queries_models.QUERIES, queries.SQL | queries_models.SQL
 
 
 @pytest.fixture(scope="module")
