@@ -7,8 +7,9 @@ both together are mostly common, and RUN common ones in a row make a band in eit
 Jaccard similarity of the sets, unless bit maps of the sets alone show that too many shingles are in one set only.
 Links form components, and one line per component stays: the first by doc_id, then by place in the table.
 
-Only hashes below DRAWN / n of their range are gathered, of n places in the line: all, if n is small, and else about DRAWN of them, so
-that fewer than KEPT (2 bands less each) have a probability of one in a million. The signature is the same for either way.
+Only hashes below DRAWN / n of their range are gathered first, of n places in the line: all, if n is small, and else about DRAWN of
+them. Lines that this leaves with fewer than KEPT, as are those that repeat few shingles often, are read again with a range MORE times as
+wide, until they have KEPT or all of theirs. So the signature is that of all shingles, whatever was drawn.
 
 Lines shorter than a shingle have themselves as their only shingle, so they meet equal lines only. Blank lines
 (only white space) are no content: all stay, and are in no class. Null text: no lines, stays null.
@@ -27,6 +28,8 @@ from strandspark.llm.graph import bucket_links
 
 #: Lines of a similarity of 0.8 share a band with a probability of 0.98, of 0.85 with 0.997.
 SHINGLE, KEPT, RUN, DRAWN, SIMILARITY = 8, 12, 3, 40, 0.8
+#: By how much the range that is gathered grows, where it held too few hashes.
+MORE = 16
 #: Longs of a bit map of shingles.
 MAP = 16
 #: Ids that are broadcast at most (8 MB).
@@ -59,13 +62,33 @@ def shingles(units: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), _places(units) - 1), lambda i: _shingle(units, i))
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """lines (keys ..., line) with n, the number of their shingles' places, and f, the KEPT smallest hashes."""
+def _lowest(lines: DataFrame, drawn: int) -> DataFrame:
+    """lines (keys ..., line) with n, the number of their shingles' places, f, the KEPT smallest of their hashes below drawn / n of the
+    range, and whole: whether f is what all hashes would give."""
     keys = [c for c in lines.columns if c != "line"]
     cut = lines.select(*keys, _units(F.col("line")).alias("units")).withColumn("n", _places(F.col("units")))
-    each = cut.select(*keys, "n", "units", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at")).select(*keys, "n", F.shiftrightunsigned(_shingle(F.col("units"), F.col("at")), 33).cast("int").alias("h"))
-    low = each.filter(F.col("h") <= F.lit(DRAWN * 2.0**31) / F.col("n"))
-    return low.groupBy(*keys, "n").agg(F.slice(F.sort_array(F.array_distinct(F.collect_list("h"))), 1, KEPT).alias("f"))
+    each = cut.select(*keys, "n", "units", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at")).select(*keys, "n", "at", F.shiftrightunsigned(_shingle(F.col("units"), F.col("at")), 33).cast("int").alias("h"))
+    # the first place stands for a line that has no hash below
+    below = F.col("h") <= F.lit(drawn * 2.0**31) / F.col("n")
+    low = each.filter(below | (F.col("at") == 0)).select(*keys, "n", F.when(below, F.col("h")).alias("h"))
+    out = low.groupBy(*keys, "n").agg(F.slice(F.sort_array(F.collect_set("h")), 1, KEPT).alias("f"))
+    return out.withColumn("whole", (F.size("f") == KEPT) | (F.col("n") <= drawn))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """lines (keys ..., line), of which row and pos tell one from the other, with n, the number of their shingles' places, and f, the
+    KEPT smallest hashes. Stored tables."""
+    out, drawn = stored(_lowest(lines, DRAWN), "occurrences"), DRAWN
+    done, short = out.filter("whole").drop("whole"), out.filter(~F.col("whole")).select("row", "pos")
+    if short.isEmpty():
+        return done
+    again = stored(lines.join(broadcast_up_to(short, SENT // 2), ["row", "pos"], "left_semi"), "short")
+    while not short.isEmpty():
+        drawn *= MORE
+        out = stored(_lowest(again.join(short, ["row", "pos"], "left_semi"), drawn), "occurrences")
+        done, short = done.unionByName(out.filter("whole").drop("whole")), out.filter(~F.col("whole")).select("row", "pos")
+    drop_stored(again)
+    return done
 
 
 def bands(f: Column) -> Column:
@@ -121,7 +144,7 @@ def _classes(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """rows: (row, doc_id, text), read once if its row isn't stored; docs: the same rows without row."""
     spark = docs.sparkSession
     with conf(spark, spark_sql_objectHashAggregate_sortBased_fallbackThreshold=GATHERED):
-        every = stored(signatures(line_table(rows)), "occurrences")
+        every = signatures(line_table(rows))
     members = every.select("x", "f").dropDuplicates(["x"]).select(F.col("x").alias("id"), F.lit(1).alias("size"), F.explode(F.array_distinct(bands(F.col("f")))).alias("bucket"))
     at = every.select("x", "doc_id")
 

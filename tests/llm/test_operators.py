@@ -375,6 +375,21 @@ def test_lines_verifies_all_of_a_band(spark):
     assert [tuple(r) for r in verify(pairs).collect()] == [(20, 21)]
 
 
+def test_lines_of_few_shingles(spark):
+    # long lines that repeat few shingles have few hashes or none in a narrow range: no line is left out, and like ones meet
+    rng = random.Random(16)
+    texts = []
+    for k in range(40):
+        unit = "".join(rng.choice("abcdefghijklmnop") for _ in range(3 + k))
+        texts += [unit * (2000 // len(unit)), unit * (900 // len(unit))]
+    assert _line_classes(spark, texts) == [(k - k % 2, 0) for k in range(80)]
+    # a signature is made of the smallest of all hashes
+    table = lines.line_table(spark.createDataFrame([(0, 0, "\n".join([*texts, _sentence(rng, 300)]))], "row long, doc_id long, text string"))
+    rows = lines.signatures(table).select("pos", "f").collect()
+    every = table.select("pos", F.expr("encode(line, 'UTF-16LE')").alias("u")).select("pos", F.sort_array(F.array_distinct(F.transform(lines.shingles(F.col("u")), lambda h: F.shiftrightunsigned(h, 33).cast("int")))).alias("f"))
+    assert len(rows) == 81 and {r.pos: r.f for r in rows} == {r.pos: r.f[:12] for r in every.collect()}
+
+
 def test_lines_odd(spark):
     docs = _docs(spark, ODD)
     assert lines.drop_repeated_lines(docs).count() == len(ODD)
