@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandspark.llm.common import blocks, broadcast_up_to, drop_stored, mix, prefix_hash, read_table, span_hash, stored, words
@@ -271,6 +271,20 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(may_hold(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), *maps)))
 
 
+def _longs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            maps = np.frombuffer(b"".join(batch.column("map").to_pylist()), np.int64).reshape(-1, MAP)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("n_words"), *(pa.array(maps[:, k]) for k in range(MAP))], names=["id", "n", *(f"m{k}" for k in range(MAP))])
+
+
+def _may_hold(x: str, y: str) -> Column:
+    """may_hold in columns, x and y prefixes of n, m0 ..."""
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}m{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}m{k}")))) for k in range(1, MAP)), F.bit_count(F.col(f"{x}m0").bitwiseAND(F.bitwise_not(F.col(f"{y}m0")))))
+    most = (1 - SIMILARITY) * F.greatest(f"{x}n", f"{y}n") + 1e-9
+    return (only(x, y) <= most) & (only(y, x) <= most) & (F.abs(F.col(f"{x}n") - F.col(f"{y}n")) <= most)
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """docs as a stored table: row, and its columns as c0, c1, ...; rows get their numbers once, as a second scan may be split differently."""
     return stored(docs.select(F.monotonically_increasing_id().alias("row"), *(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns))), "rows")
@@ -300,6 +314,8 @@ def _classes(placed: DataFrame) -> DataFrame:
             may = stored(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_prune, "a long, b long"), "candidates")
             return may.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_align, "a long, b long")
 
+        verify.traits = stored(maps.select("row", "n_words", "map").mapInArrow(_longs, "id long, n long, " + ", ".join(f"m{k} long" for k in range(MAP))), "traits")
+        verify.may_hold = _may_hold
         return verify
 
     links, of = bucket_links(members, SIMILARITY, prepare)

@@ -413,6 +413,41 @@ def test_bucket_links_of_fringe_members(spark):
     assert [r.a for r in links.collect() if r.a >= 1000] == [1002]
 
 
+def test_bucket_links_rule_out_within_the_join(spark):
+    # two large groups that are not alike share a bucket: their pairs are ruled out by traits and never asked
+    members = spark.createDataFrame([(0, i, 100) for i in range(400)], "bucket long, id long, size int")
+    asked = []
+
+    def prepare(ids):
+        def verify(pairs):
+            found = [tuple(r) for r in pairs.collect()]
+            asked.extend(found)
+            return spark.createDataFrame([p for p in found if p[0] % 2 == p[1] % 2], "a long, b long")
+
+        verify.traits = spark.createDataFrame([(i, i % 2) for i in range(400)], "id long, kind int")
+        verify.may_hold = lambda x, y: F.col(f"{x}kind") == F.col(f"{y}kind")
+        return verify
+
+    _, of = graph.bucket_links(members, 0.8, prepare)
+    assert _partition((r.id, r.component) for r in of.collect()) == _partition((i, i % 2) for i in range(400))
+    assert len(asked) == len(set(asked)) and all(a % 2 == b % 2 for a, b in asked[399:])
+
+
+def test_native_bounds_agree(spark):
+    rng = np.random.default_rng(17)
+    rows, want = [], []
+    for _ in range(300):
+        n = int(rng.integers(5, 60))
+        x = rng.integers(0, 1 << 40, n).astype(np.uint64)
+        y = np.where(rng.random(n) < 0.25, rng.integers(0, 1 << 40, n).astype(np.uint64), x)[: int(rng.integers(n - n // 4, n + 1))]
+        maps = neardup.word_maps(np.concatenate([x, y]), np.array([0, n, n + len(y)]))
+        want.append(bool(neardup.may_hold(np.array([n]), np.array([len(y)]), maps[:1], maps[1:])[0]))
+        rows.append((len(rows), n, *maps[0].view(np.int64).tolist(), len(y), *maps[1].view(np.int64).tolist()))
+    names = ["i", *(f"{s}_{c}" for s in "xy" for c in ("n", *(f"m{k}" for k in range(neardup.MAP))))]
+    got = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in names)).select("i", neardup._may_hold("x_", "y_").alias("ok")).collect()
+    assert [r.ok for r in sorted(got, key=lambda r: r.i)] == want and 0 < sum(want) < 300
+
+
 def test_components_brute(spark):
     rng = random.Random(8)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
