@@ -106,11 +106,11 @@ def _maps(texts: DataFrame) -> DataFrame:
     return each.groupBy("x").agg(F.max("n").alias("n"), *(F.bit_or(F.when(part == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(MAP)))
 
 
-def _may_hold() -> Column:
-    """Whether the bit maps of a and b leave a similarity of SIMILARITY possible: each bit that only one has stands for a shingle at least."""
-    only = lambda a, b: sum((F.bit_count(F.col(f"{a}{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}{k}")))) for k in range(1, MAP)), F.bit_count(F.col(f"{a}0").bitwiseAND(F.bitwise_not(F.col(f"{b}0")))))
-    a, b = only("a", "b"), only("b", "a")
-    common = F.least(F.col("na") - a, F.col("nb") - b)
+def _may_hold(x: str = "a", y: str = "b") -> Column:
+    """Whether the bit maps of x and y, prefixes of columns n, m0 ..., leave a similarity of SIMILARITY possible: each bit that only one has stands for a shingle at least."""
+    only = lambda x, y: sum((F.bit_count(F.col(f"{x}m{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}m{k}")))) for k in range(1, MAP)), F.bit_count(F.col(f"{x}m0").bitwiseAND(F.bitwise_not(F.col(f"{y}m0")))))
+    a, b = only(x, y), only(y, x)
+    common = F.least(F.col(f"{x}n") - a, F.col(f"{y}n") - b)
     return common >= SIMILARITY * (common + a + b) - 1e-6
 
 
@@ -120,15 +120,17 @@ def _verifier(lines: DataFrame):
     def prepare(ids: DataFrame):
         known = stored(lines.select("x", _units(F.col("line")).alias("units")).join(broadcast_up_to(ids.select(F.col("id").alias("x")), SENT), "x").dropDuplicates(["x"]), "lines")
         maps = stored(_maps(known), "maps")
-        of = lambda side: maps.select(F.col("x").alias(side), F.col("n").alias(f"n{side}"), *(F.col(f"m{k}").alias(f"{side}{k}") for k in range(MAP)))
+        of = lambda side: maps.select(F.col("x").alias(side), *(F.col(c).alias(side + c) for c in maps.columns if c != "x"))
         text = lambda side: known.select(F.col("x").alias(side), F.col("units").alias(f"u{side}"))
 
         def verify(pairs: DataFrame) -> DataFrame:
             may = stored(pairs.join(of("a"), "a").join(of("b"), "b").filter(_may_hold()).select("a", "b"), "candidates")
-            sets = may.join(text("a"), "a").join(text("b"), "b").select("a", "b", shingles(F.col("ua")).alias("sa"), shingles(F.col("ub")).alias("sb"))
-            sizes = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), F.size(F.array_union("sa", "sb")).alias("every"))
-            return sizes.filter(F.col("common") >= SIMILARITY * F.col("every")).select("a", "b")
+            # the sets are computed once for each pair: a filter on columns of a select would repeat what they are made of
+            sets = F.array(F.struct(shingles(F.col("ua")).alias("a"), shingles(F.col("ub")).alias("b")))
+            alike = F.exists(sets, lambda s: F.size(F.array_intersect(s.a, s.b)) >= SIMILARITY * F.size(F.array_union(s.a, s.b)))
+            return may.join(text("a"), "a").join(text("b"), "b").filter(alike).select("a", "b")
 
+        verify.traits, verify.may_hold = maps.withColumnRenamed("x", "id"), _may_hold
         return verify
 
     return prepare
