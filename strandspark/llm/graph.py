@@ -29,14 +29,15 @@ def bucket_links(members: DataFrame, least: float, prepare: Callable[[DataFrame]
     least: pairs whose smaller size is less than this part of the larger can't hold, and aren't verified.
     prepare: takes the ids that share a bucket with another and returns a function from distinct pairs (a, b) to those that hold.
     If that has traits (id, columns ...) and may_hold, which takes two prefixes of such columns, pairs for which it is false are known
-    not to hold. From the second round on, when dissimilar groups meet, they leave within the join and make no rows."""
+    not to hold. From the second round on, when dissimilar groups meet, they leave within the join and make no rows.
+    If it has exact, that verifies pairs for which may_hold is true."""
     # dealt by bucket once, for the count and for the join
     every = members.select("bucket", "id", "size").repartition("bucket")  # no member is twice in a bucket
     shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     rest = stored(every.join(shared, "bucket").select("bucket", "id", "size", "n"), "members")
     ids = stored(rest.groupBy("id").agg(F.sum("n").alias("popular")), "popular")
     verify = prepare(ids.select("id"))
-    traits, may_hold = getattr(verify, "traits", None), getattr(verify, "may_hold", None)
+    traits, may_hold, exact = getattr(verify, "traits", None), getattr(verify, "may_hold", None), getattr(verify, "exact", verify)
     before, rest = rest, stored(rest.join(ids, "id").select("bucket", "id", "size", "popular", F.col("id").alias("component")), "members")
     drop_stored(before)
     links = known = tested = None
@@ -50,12 +51,12 @@ def bucket_links(members: DataFrame, least: float, prepare: Callable[[DataFrame]
         if traits is None or parts == 1:
             met = rest.join(leaders, "bucket").filter(apart)
         else:
-            with_traits = lambda df, c, to: df.join(traits.select(F.col("id").alias(c), *(F.col(x).alias(f"{to}_{x}") for x in traits.columns if x != "id")), c)
+            with_traits = lambda df, c, to: df.join(traits.select(F.col("id").alias(c), *(F.coalesce(F.col(x), F.lit(0).cast("long")).alias(f"{to}_{x}") for x in traits.columns if x != "id")), c)
             met = with_traits(rest, "id", "own").join(with_traits(leaders, "leader", "led"), "bucket").filter(apart & may_hold("own_", "led_"))
         asked = met.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
         asked = stored(asked if tested is None else asked.join(tested, ["a", "b"], "left_anti"), "asked")
         tested = asked if tested is None else tested.unionByName(asked)
-        new = stored(verify(asked), "links")
+        new = stored((verify if traits is None or parts == 1 else exact)(asked), "links")
         links = new if links is None else links.unionByName(new)
         if known is None:
             known = components(new)

@@ -30,8 +30,8 @@ from strandspark.llm.graph import bucket_links
 SHINGLE, KEPT, RUN, DRAWN, SIMILARITY = 8, 12, 3, 40, 0.8
 #: By how much the range that is gathered grows, where it held too few hashes.
 MORE = 16
-#: Longs of a bit map of shingles.
-MAP = 16
+#: Longs of a bit map of shingles; two maps are under the 100 columns up to which Spark compiles a join. 64 * MAP is a power of two.
+MAP = 32
 #: Ids that are broadcast at most (8 MB).
 SENT = 1 << 20
 #: Lines that a task gathers hashes of in memory before it sorts them on disk.
@@ -98,20 +98,22 @@ def bands(f: Column) -> Column:
 
 
 def _maps(texts: DataFrame) -> DataFrame:
-    """(x, n, m0 ... m15): bit maps of the shingles of each line (x, units)."""
-    cut = texts.select("x", "units", _places(F.col("units")).alias("n"))
-    each = cut.select("x", "n", "units", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at")).select("x", "n", _shingle(F.col("units"), F.col("at")).alias("h"))
+    """(x, n, p, m0, m1 ...): the number of different shingles of each line (x, units), their bit map, and its number of bits."""
+    each = texts.select("x", F.explode(F.array_distinct(shingles(F.col("units")))).alias("h"))
     bit = F.expr("shiftleft(1L, cast(h & 63 AS int))")
     part = F.shiftright("h", 6).bitwiseAND(F.lit(MAP - 1))
-    return each.groupBy("x").agg(F.max("n").alias("n"), *(F.bit_or(F.when(part == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(MAP)))
+    maps = each.groupBy("x").agg(F.count("*").alias("n"), *(F.bit_or(F.when(part == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(MAP)))
+    return maps.withColumn("p", sum((F.bit_count(f"m{k}") for k in range(1, MAP)), F.bit_count("m0")))
 
 
 def _may_hold(x: str = "a", y: str = "b") -> Column:
-    """Whether the bit maps of x and y, prefixes of columns n, m0 ..., leave a similarity of SIMILARITY possible: each bit that only one has stands for a shingle at least."""
-    only = lambda x, y: sum((F.bit_count(F.col(f"{x}m{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}m{k}")))) for k in range(1, MAP)), F.bit_count(F.col(f"{x}m0").bitwiseAND(F.bitwise_not(F.col(f"{y}m0")))))
-    a, b = only(x, y), only(y, x)
-    common = F.least(F.col(f"{x}n") - a, F.col(f"{y}n") - b)
-    return common >= SIMILARITY * (common + a + b) - 1e-6
+    """Whether the sizes and bit maps of x and y, prefixes of columns n, p, m0 ..., leave a similarity of SIMILARITY possible: each bit that only one has stands for a shingle at least."""
+    both = sum((F.bit_count(F.col(f"{x}m{k}").bitwiseAND(F.col(f"{y}m{k}"))) for k in range(1, MAP)), F.bit_count(F.col(f"{x}m0").bitwiseAND(F.col(f"{y}m0"))))
+    # common <= n - (p - both) on either side, and common >= SIMILARITY * (all of both lines)
+    share = SIMILARITY / (1 + SIMILARITY)
+    least = share * (F.col(f"{x}n") + F.col(f"{y}n")) - 1e-6
+    sizes = F.least(f"{x}n", f"{y}n") >= SIMILARITY * F.greatest(f"{x}n", f"{y}n") - 1e-6
+    return sizes & (both + F.least(F.col(f"{x}n") - F.col(f"{x}p"), F.col(f"{y}n") - F.col(f"{y}p")) >= least)
 
 
 def _verifier(lines: DataFrame):
@@ -124,13 +126,15 @@ def _verifier(lines: DataFrame):
         text = lambda side: known.select(F.col("x").alias(side), F.col("units").alias(f"u{side}"))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            may = stored(pairs.join(of("a"), "a").join(of("b"), "b").filter(_may_hold()).select("a", "b"), "candidates")
+            return exact(stored(pairs.join(of("a"), "a").join(of("b"), "b").filter(_may_hold()).select("a", "b"), "candidates"))
+
+        def exact(may: DataFrame) -> DataFrame:
             # the sets are computed once for each pair: a filter on columns of a select would repeat what they are made of
             sets = F.array(F.struct(shingles(F.col("ua")).alias("a"), shingles(F.col("ub")).alias("b")))
             alike = F.exists(sets, lambda s: F.size(F.array_intersect(s.a, s.b)) >= SIMILARITY * F.size(F.array_union(s.a, s.b)))
             return may.join(text("a"), "a").join(text("b"), "b").filter(alike).select("a", "b")
 
-        verify.traits, verify.may_hold = maps.withColumnRenamed("x", "id"), _may_hold
+        verify.traits, verify.may_hold, verify.exact = maps.withColumnRenamed("x", "id"), _may_hold, exact
         return verify
 
     return prepare

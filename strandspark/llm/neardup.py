@@ -311,11 +311,13 @@ def _classes(placed: DataFrame) -> DataFrame:
         text = lambda side: known.select(F.col("row").alias(side), F.col("text").alias(f"t{side}"))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            may = stored(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_prune, "a long, b long"), "candidates")
+            return exact(stored(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_prune, "a long, b long"), "candidates"))
+
+        def exact(may: DataFrame) -> DataFrame:
             return may.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_align, "a long, b long")
 
         verify.traits = stored(maps.select("row", "n_words", "map").mapInArrow(_longs, "id long, n long, " + ", ".join(f"m{k} long" for k in range(MAP))), "traits")
-        verify.may_hold = _may_hold
+        verify.may_hold, verify.exact = _may_hold, exact
         return verify
 
     links, of = bucket_links(members, SIMILARITY, prepare)

@@ -433,6 +433,44 @@ def test_bucket_links_rule_out_within_the_join(spark):
     assert len(asked) == len(set(asked)) and all(a % 2 == b % 2 for a, b in asked[399:])
 
 
+def test_bucket_links_take_pairs_that_passed_the_join_as_they_are(spark):
+    members = spark.createDataFrame([(0, i, 100) for i in range(60)], "bucket long, id long, size int")
+    calls = []
+
+    def prepare(ids):
+        def of(name):
+            def check(pairs):
+                calls.append(name)
+                return pairs.filter("a % 3 = b % 3")
+
+            return check
+
+        verify = of("verify")
+        verify.traits = spark.createDataFrame([(i, i % 3) for i in range(60)], "id long, kind int")
+        verify.may_hold, verify.exact = lambda x, y: F.col(f"{x}kind") == F.col(f"{y}kind"), of("exact")
+        return verify
+
+    _, of = graph.bucket_links(members, 0.8, prepare)
+    assert _partition((r.id, r.component) for r in of.collect()) == _partition((i, i % 3) for i in range(60))
+    assert calls[0] == "verify" and calls[1:] == ["exact"] * (len(calls) - 1)
+
+
+def test_line_maps_bound_closely(spark):
+    # a line that repeats its shingles counts each once; pairs of 0.8 and more pass, and lines of 500 shingles of which 0.72 are common don't
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    base = letters(520)
+    texts = [base, base[:460] + letters(60), base[:430] + letters(90), "ab" * 400, "ab" * 400 + letters(10), letters(60)]
+    sets = [{t[i : i + lines.SHINGLE] for i in range(len(t) - lines.SHINGLE + 1)} for t in texts]
+    units = lines._maps(spark.createDataFrame(list(enumerate(texts)), "x long, line string").select("x", lines._units(F.col("line")).alias("units")))
+    assert {r.x: r.n for r in units.collect()} == {i: len(s) for i, s in enumerate(sets)}
+    side = lambda s: units.select(*(F.col(c).alias(s + c) for c in units.columns))
+    may = {(r.ax, r.bx) for r in side("a").join(side("b"), F.col("ax") < F.col("bx")).filter(lines._may_hold()).collect()}
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in itertools.combinations(range(len(texts)), 2)}
+    assert alike[0, 2] > 0.69 and {p for p, x in alike.items() if x >= lines.SIMILARITY} <= may
+    assert (0, 2) not in may and (3, 4) not in may
+
+
 def test_native_bounds_agree(spark):
     rng = np.random.default_rng(17)
     rows, want = [], []
