@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandspark.llm.common import blocks, mix, prefix_hash, read_table, span_hash, words
+from strandspark.llm.common import blocks, mix, prefix_hash, read_table, release, span_hash, words
 
 BITS, CHAIN, THRESHOLD = 18, 128, 0.7
 BEGINNINGS = (4, 5, 6)
@@ -269,6 +269,8 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task's labelled documents (doc_id, text, toxic): the field fitted to them, in an order of their own."""
     rows = sorted({(r["doc_id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist()})
     field = fit([r[1] for r in rows], np.array([r[2] for r in rows]).astype(bool))
+    del rows
+    release()
     if field is not None:
         values = ([field.weights.tobytes()], [field.bias], [field.trans.ravel().tolist()], [field.start.tolist()], [field.slope], [field.intercept])
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.binary(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64()), strict=True)], names=["weights", "bias", "trans", "start", "slope", "intercept"])
@@ -325,6 +327,8 @@ def clean_documents(docs: DataFrame, field: Field | None, threshold: float = THR
                 x, _, _, first = features(body, offsets)
                 score = field.score(largest_marginals(field.marginals(x, first), first))
             yield batch.filter(pa.array(score < threshold))
+        batch = body = offsets = score = x = first = None
+        release()
 
     return docs.mapInArrow(keep, docs.schema)
 

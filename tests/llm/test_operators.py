@@ -13,7 +13,7 @@ import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
-from strandspark.llm import graph, lines, media, mixing, neardup, packing, repeats, scoring, topk, toxicity, urls
+from strandspark.llm import common, graph, lines, media, mixing, neardup, packing, repeats, scoring, topk, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (None, "one two", None, "a", 7), (3, "word " * 30_000, "en", "b", 150_000), (4, "Ünïcode\n\nçé 漢字 \x00\x1c", "fr", "b", 20), (5, "one two", "en", "a", 7)]
@@ -471,6 +471,20 @@ def test_line_maps_bound_closely(spark):
     assert (0, 2) not in may and (3, 4) not in may
 
 
+def test_workers_give_memory_back():
+    def resident():
+        return int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) >> 10
+
+    kept, held = [], []
+    for _ in range(4000):  # what is kept lies between what goes
+        held.append(bytearray(60_000))
+        kept.append(bytearray(200))
+    full = resident()
+    held.clear()
+    common.release()
+    assert resident() < full - 150
+
+
 def test_native_bounds_agree(spark):
     rng = np.random.default_rng(17)
     rows, want = [], []
