@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandspark.llm.common import drop_stored, stored
@@ -29,12 +29,12 @@ def bucket_links(members: DataFrame, least: float, prepare: Callable[[DataFrame]
     least: pairs whose smaller size is less than this part of the larger can't hold, and aren't verified.
     prepare: takes the ids that share a bucket with another and returns a function from distinct pairs (a, b) to those that hold.
     If that has traits (id, columns ...) and may_hold, which takes two prefixes of such columns, pairs for which it is false are known
-    not to hold. From the second round on, when dissimilar groups meet, they leave within the join and make no rows.
+    not to hold. From the second round on, when dissimilar groups meet, they leave within the join and make no rows. traits may be a
+    function of the ids that are left after the first round.
     If it has exact, that verifies pairs for which may_hold is true."""
-    # dealt by bucket once, for the count and for the join
-    every = members.select("bucket", "id", "size").repartition("bucket")  # no member is twice in a bucket
-    shared = every.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    rest = stored(every.join(shared, "bucket").select("bucket", "id", "size", "n"), "members")
+    # dealt by bucket once; no member is twice in a bucket
+    every = members.select("bucket", "id", "size", F.count("*").over(Window.partitionBy("bucket")).alias("n"))
+    rest = stored(every.filter("n > 1"), "members")
     ids = stored(rest.groupBy("id").agg(F.sum("n").alias("popular")), "popular")
     verify = prepare(ids.select("id"))
     traits, may_hold, exact = getattr(verify, "traits", None), getattr(verify, "may_hold", None), getattr(verify, "exact", verify)
@@ -48,6 +48,8 @@ def bucket_links(members: DataFrame, least: float, prepare: Callable[[DataFrame]
         first = F.min(F.struct((-F.col("popular")).alias("p"), rank.alias("r"), F.col("id").alias("leader"), F.col("component").alias("side"), F.col("size").alias("its"))).alias("m")
         leaders = stored(rest.groupBy("bucket", F.pmod(rank, F.lit(parts)).alias("part")).agg(first).select("bucket", "m.leader", "m.side", "m.its"), "leaders")
         apart = (F.col("component") != F.col("side")) & bound
+        if callable(traits) and parts > 1:
+            traits = traits(rest.select("id").distinct())
         if traits is None or parts == 1:
             met = rest.join(leaders, "bucket").filter(apart)
         else:

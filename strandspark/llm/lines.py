@@ -27,15 +27,15 @@ from strandspark.llm.common import broadcast_up_to, conf, drop_stored, read_tabl
 from strandspark.llm.graph import bucket_links
 
 #: Lines of a similarity of 0.8 share a band with a probability of 0.98, of 0.85 with 0.997.
-SHINGLE, KEPT, RUN, DRAWN, SIMILARITY = 8, 12, 3, 40, 0.8
+SHINGLE, KEPT, RUN, DRAWN, SIMILARITY = 8, 12, 3, 24, 0.8
 #: By how much the range that is gathered grows, where it held too few hashes.
 MORE = 16
 #: Longs of a bit map of shingles; two maps are under the 100 columns up to which Spark compiles a join. 64 * MAP is a power of two.
 MAP = 32
 #: Ids that are broadcast at most (8 MB).
 SENT = 1 << 20
-#: Lines that a task gathers hashes of in memory before it sorts them on disk.
-GATHERED = str(1 << 14)
+#: Lines that a task gathers hashes of in memory before it sorts all further hashes, a row each: about 90 MB by estimate (not measured); most file parts have fewer.
+GATHERED = str(1 << 17)
 
 
 def line_table(rows: DataFrame) -> DataFrame:
@@ -58,20 +58,22 @@ def _shingle(units: Column, at: Column) -> Column:
 
 
 def shingles(units: Column) -> Column:
-    """A line's character shingles, by their 64-bit hashes. units: a column, as each shingle evaluates it."""
-    return F.transform(F.sequence(F.lit(0), _places(units) - 1), lambda i: _shingle(units, i))
+    """A line's character shingles, by their 64-bit hashes."""
+    # units are an element here: as a column each shingle would copy the whole line out of its row
+    each = F.transform(F.array(units), lambda u: F.transform(F.sequence(F.lit(0), _places(u) - 1), lambda i: _shingle(u, i)))
+    return F.get(each, F.lit(0))
 
 
 def _lowest(lines: DataFrame, drawn: int) -> DataFrame:
     """lines (keys ..., line) with n, the number of their shingles' places, f, the KEPT smallest of their hashes below drawn / n of the
     range, and whole: whether f is what all hashes would give."""
     keys = [c for c in lines.columns if c != "line"]
-    cut = lines.select(*keys, _units(F.col("line")).alias("units")).withColumn("n", _places(F.col("units")))
-    each = cut.select(*keys, "n", "units", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at")).select(*keys, "n", "at", F.shiftrightunsigned(_shingle(F.col("units"), F.col("at")), 33).cast("int").alias("h"))
+    cut = lines.select(*keys, _units(F.col("line")).alias("units")).withColumn("n", _places(F.col("units"))).withColumn("most", F.floor(F.lit(drawn * 2.0**31) / F.col("n")))
+    each = cut.select(*keys, "n", "most", "units", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at")).select(*keys, "n", "most", "at", F.shiftrightunsigned(_shingle(F.col("units"), F.col("at")), 33).alias("h"))
     # the first place stands for a line that has no hash below
-    below = F.col("h") <= F.lit(drawn * 2.0**31) / F.col("n")
-    low = each.filter(below | (F.col("at") == 0)).select(*keys, "n", F.when(below, F.col("h")).alias("h"))
-    out = low.groupBy(*keys, "n").agg(F.slice(F.sort_array(F.collect_set("h")), 1, KEPT).alias("f"))
+    below = F.col("h") <= F.col("most")
+    low = each.filter(below | (F.col("at") == 0)).select(*keys, "n", F.when(below, F.col("h").cast("int")).alias("h"))
+    out = low.groupBy(*keys, "n").agg(F.slice(F.sort_array(F.array_distinct(F.collect_list("h"))), 1, KEPT).alias("f"))
     return out.withColumn("whole", (F.size("f") == KEPT) | (F.col("n") <= drawn))
 
 
@@ -121,20 +123,19 @@ def _verifier(lines: DataFrame):
 
     def prepare(ids: DataFrame):
         known = stored(lines.select("x", _units(F.col("line")).alias("units")).join(broadcast_up_to(ids.select(F.col("id").alias("x")), SENT), "x").dropDuplicates(["x"]), "lines")
-        maps = stored(_maps(known), "maps")
-        of = lambda side: maps.select(F.col("x").alias(side), *(F.col(c).alias(side + c) for c in maps.columns if c != "x"))
         text = lambda side: known.select(F.col("x").alias(side), F.col("units").alias(f"u{side}"))
 
         def verify(pairs: DataFrame) -> DataFrame:
-            return exact(stored(pairs.join(of("a"), "a").join(of("b"), "b").filter(_may_hold()).select("a", "b"), "candidates"))
-
-        def exact(may: DataFrame) -> DataFrame:
             # the sets are computed once for each pair: a filter on columns of a select would repeat what they are made of
             sets = F.array(F.struct(shingles(F.col("ua")).alias("a"), shingles(F.col("ub")).alias("b")))
             alike = F.exists(sets, lambda s: F.size(F.array_intersect(s.a, s.b)) >= SIMILARITY * F.size(F.array_union(s.a, s.b)))
-            return may.join(text("a"), "a").join(text("b"), "b").filter(alike).select("a", "b")
+            return pairs.join(text("a"), "a").join(text("b"), "b").filter(alike).select("a", "b")
+
+        def traits(left: DataFrame) -> DataFrame:
+            # maps cost more than they save in the first round, where most lines meet their like
+            return stored(_maps(known.join(left.select(F.col("id").alias("x")), "x", "left_semi")), "maps").withColumnRenamed("x", "id")
 
-        verify.traits, verify.may_hold, verify.exact = maps.withColumnRenamed("x", "id"), _may_hold, exact
+        verify.traits, verify.may_hold = traits, _may_hold
         return verify
 
     return prepare

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -455,6 +456,51 @@ def test_bucket_links_take_pairs_that_passed_the_join_as_they_are(spark):
     assert calls[0] == "verify" and calls[1:] == ["exact"] * (len(calls) - 1)
 
 
+def test_bucket_links_make_traits_only_for_ids_left(spark):
+    # 0 to 199 are alike and done after the first round: traits are asked for the ids of the other bucket only
+    members = spark.createDataFrame([(i // 200, i, 100) for i in range(300)], "bucket long, id long, size int")
+    made = []
+
+    def prepare(ids):
+        def verify(pairs):
+            return pairs.filter("a < 200 OR a % 2 = b % 2")
+
+        def traits(left):
+            made.append(sorted(r.id for r in left.collect()))
+            return spark.createDataFrame([(i, i % 2) for i in made[-1]], "id long, kind int")
+
+        verify.traits, verify.may_hold = traits, lambda x, y: F.col(f"{x}kind") == F.col(f"{y}kind")
+        return verify
+
+    _, of = graph.bucket_links(members, 0.8, prepare)
+    assert _partition((r.id, r.component) for r in of.collect()) == _partition((i, i if i < 1 else 0 if i < 200 else 200 + i % 2) for i in range(300))
+    assert len(made) == 1 and 99 <= len(made[0]) <= 100 and min(made[0]) >= 200
+
+
+def test_shingles_of_a_long_line_take_time_by_its_length(spark):
+    # each shingle once copied the whole line out of its row
+    table = spark.range(1).select(F.expr("encode(repeat(concat('abcdefghij', id), 18182), 'UTF-16LE')").alias("u")).repartition(1)
+    begin = time.monotonic()
+    assert table.select(F.size(F.array_distinct(lines.shingles(F.col("u"))))).first()[0] == 11
+    assert time.monotonic() - begin < 4
+
+
+def test_signatures_gather_a_file_part_in_memory(spark):
+    # where the hashes of too few lines are gathered, all further ones are sorted, a row each
+    table = spark.range(0, 20_000, 1, 1).select(F.col("id").alias("row"), F.lit(0).alias("pos"), F.concat(F.lit("a line of some words "), "id").alias("line"))
+    with common.conf(spark, spark_sql_adaptive_enabled="false", spark_sql_objectHashAggregate_sortBased_fallbackThreshold=lines.GATHERED):
+        low = lines._lowest(table, lines.DRAWN)
+        assert len(low.collect()) == 20_000
+        node, sorted_ = low._jdf.queryExecution().executedPlan(), []
+        while True:
+            if node.metrics().contains("numTasksFallBacked"):
+                sorted_.append(node.metrics().apply("numTasksFallBacked").value())
+            if node.children().isEmpty():
+                break
+            node = node.children().head()
+    assert sorted_ == [0, 0]
+
+
 def test_line_maps_bound_closely(spark):
     # a line that repeats its shingles counts each once; pairs of 0.8 and more pass, and lines of 500 shingles of which 0.72 are common don't
     rng = random.Random(5)
