@@ -33,6 +33,8 @@ MAP = 16
 SENT = 1 << 20
 #: Cells of alignment that are computed together.
 CELLS = 1 << 22
+#: Pairs a text from which on texts are dealt in blocks instead of once for each pair; texts and bytes of one side of a block, pairs of a task.
+DENSE, SIDE, SIDE_BYTES, TASK_PAIRS = 16, 128, 1 << 23, 1 << 11
 
 
 def word_hashes(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,6 +266,24 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).filter(pa.array(edit_similar(*sides)))
 
 
+def _align_block(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+    """_align for the pairs of a block, whose texts are hashed once each."""
+    of: dict[int, np.ndarray] = {}
+    for part, body, offsets in blocks(iter(texts.combine_chunks().to_batches()), "text"):
+        h, first = word_hashes(body, offsets)
+        of |= {row: h[first[i] : first[i + 1]] for i, row in enumerate(part.column("row").to_pylist())}
+    a, b = ([of[x] for x in pairs.column(c).to_pylist()] for c in ("a", "b"))
+    keep = [edit_similar(a[at : at + 256], b[at : at + 256]) for at in range(0, len(a), 256)]
+    return pairs.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
+
+
+def _dealt(may: DataFrame, known: DataFrame, sides: int) -> tuple[DataFrame, DataFrame]:
+    """(texts (block, row, text), pairs (at, a, b), at a block): all pairs (a, b), and each text once for each block that has pairs of it, so at most 2 * sides times."""
+    side = lambda c: F.pmod(F.xxhash64(c), F.lit(sides))
+    pairs = may.select((side("a") * sides + side("b")).alias("block"), "a", "b")
+    return pairs.select("block", F.explode(F.array("a", "b")).alias("row")).distinct().join(known, "row").select("block", "row", "text"), pairs.toDF("at", "a", "b")
+
+
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
@@ -314,6 +334,14 @@ def _classes(placed: DataFrame) -> DataFrame:
             return exact(stored(pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_prune, "a long, b long"), "candidates"))
 
         def exact(may: DataFrame) -> DataFrame:
+            n, ends = may.count(), may.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+            if n and n >= DENSE * ends.count():
+                # many pairs of few texts
+                number, size = ends.join(known, "row").agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+                sides = max(1, -(-number // SIDE), -(-size // SIDE_BYTES))
+                parts = max(1, min(sides * sides, n // TASK_PAIRS))  # few bytes, but much work: a number that isn't reduced by size
+                texts, pairs = _dealt(may, known, sides)
+                return texts.repartition(parts, "block").groupBy("block").cogroup(pairs.repartition(parts, "at").groupBy("at")).applyInArrow(_align_block, "a long, b long")
             return may.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_align, "a long, b long")
 
         verify.traits = stored(maps.select("row", "n_words", "map").mapInArrow(_longs, "id long, n long, " + ", ".join(f"m{k} long" for k in range(MAP))), "traits")

@@ -296,6 +296,25 @@ def test_neardup_recall_by_similarity(spark, similarity):
     assert sum(rows[i] == rows[i + 1] for i in range(0, 200, 2)) >= 96
 
 
+def test_neardup_deals_many_pairs_of_few_texts_in_blocks(spark, monkeypatch):
+    rng = random.Random(18)
+    base = _sentence(rng, 200).split()
+    texts = [" ".join(_sentence(rng, 1) if rng.random() < 0.11 else w for w in base) for _ in range(60)]
+    known = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    may = spark.createDataFrame([(a, b) for a in range(60) for b in range(a)], "a long, b long")
+    dealt, pairs = neardup._dealt(may, known, 3)
+    assert dealt.count() <= 2 * 3 * 60 and pairs.select("a", "b").exceptAll(may).count() == 0 and pairs.count() == 60 * 59 // 2
+    docs = _docs(spark, list(enumerate(texts)))
+    found, calls = {}, []
+    monkeypatch.setattr(neardup, "_dealt", lambda *x, f=neardup._dealt: calls.append(x) or f(*x))
+    for dense in (0, 1 << 30):
+        monkeypatch.setattr(neardup, "DENSE", dense)
+        found[dense] = sorted((r.doc_id, r.class_id, r.links) for r in neardup.near_classes(docs).collect())
+        assert bool(calls) == (dense == 0)
+        calls.clear()
+    assert found[0] == found[1 << 30] and sum(x[2] for x in found[0])
+
+
 def test_neardup_odd(spark):
     docs = _docs(spark, ODD).withColumnRenamed("n_chars", "row")
     assert neardup.near_classes(docs).count() == len(ODD)
