@@ -1,14 +1,19 @@
-"""k-mer and positional tabulations, with DataFrame operations only.
+"""k-mer and positional tabulations.
 
 Windows are exploded and summed per k-mer with partial aggregation before the shuffle; the other strand is added
-afterwards, on one row per k-mer."""
+afterwards, on one row per k-mer. For medians a vectorised Arrow kernel counts them, and most never become rows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandspark.functions.alphabet import DNA, Alphabet
+from strandspark.functions.words import Words
 
 #: Largest universe of k-mers that is written out with its zeros.
 MAX_UNIVERSE = 1 << 21
@@ -75,30 +80,77 @@ def kmer_average(df: DataFrame, k: int = 8, forward_only: bool = False, pseudoco
 def kmer_median(df: DataFrame, k: int = 8, alphabet: Alphabet = DNA, seq: str = "seq", value: str = "value", forward_only: bool = False) -> DataFrame:
     """Exact median of a value over a k-mer's occurrences on both strands; null without any. Null values are left out.
 
-    A histogram per k-mer finds the bins of the two middle values; only occurrences in those bins are sorted."""
-    given = df.filter(F.col(value).isNotNull()).select(seq, F.col(value).cast("double").alias("__v"))
+    A histogram per k-mer finds the bins of the two middle values; only occurrences in those bins become rows. The
+    histograms' counts, no more than MEDIAN_CELLS and twice the k-mers, come to the driver, so that they are made once."""
+    spark = df.sparkSession
+    every = kmer_universe(spark, k, alphabet).select("kmer_id", "kmer")
+    given = df.filter(F.col(value).isNotNull()).select(F.col(seq).cast("string").alias("seq"), F.col(value).cast("double").alias("__v"))
     finite = F.when(F.abs("__v") < float("inf"), F.col("__v"))
     ends = given.agg(F.min(finite).alias("a"), F.max(finite).alias("b")).first()
     low, high = ends.a or 0.0, ends.b or 0.0
     bins = max(1, min(MEDIAN_BINS, MEDIAN_CELLS // len(alphabet.order) ** k))
     share = F.coalesce(F.try_divide(F.col("__v") / bins - low / bins, F.lit(high / bins - low / bins)), F.lit(0.0))
     binned = F.when(F.col("__v") >= high, bins).when(F.col("__v") <= low, 0).otherwise(F.floor(share * bins)).cast("int")  # NaN is largest
-    found = windows(given.withColumn("__bin", binned), k, alphabet, seq, ["__v", "__bin"])
-    turned = lambda x: x.withColumn("kmer", alphabet.revcomp(F.col("kmer")))
-    both = lambda x: x if forward_only else x.unionByName(turned(x))
-    histogram = both(found.groupBy("kmer", "__bin").agg(F.count("*").alias("n"))).groupBy("kmer", "__bin").agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy("kmer").orderBy("__bin")
-    ranks = histogram.withColumns({"__to": F.sum("n").over(upto), "__all": F.sum("n").over(Window.partitionBy("kmer"))}).withColumns({"__from": F.col("__to") - F.col("n"), "__lo": F.floor((F.col("__all") - 1) / 2), "__hi": F.floor(F.col("__all") / 2)})
-    middle = ranks.filter("(__from <= __lo AND __lo < __to) OR (__from <= __hi AND __hi < __to)")
-    middle = middle.select("kmer", "__bin", "__lo", "__hi", F.min("__from").over(Window.partitionBy("kmer")).alias("__from"))
-    wanted = both(middle.select("kmer", "__bin")).distinct()
-    counted = found.join(wanted, ["kmer", "__bin"], "left_semi").groupBy("kmer", "__bin", "__v").agg(F.count("*").alias("n"))
-    counted = both(counted).groupBy("kmer", "__bin", "__v").agg(F.sum("n").alias("n")).join(middle, ["kmer", "__bin"])
-    reached = counted.withColumn("__to", F.col("__from") + F.sum("n").over(Window.partitionBy("kmer").orderBy("__v")))
+    given = given.withColumn("__bin", binned)
+    stride = bins + 1
+
+    def cells(words: Words, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(k-mer, number of the row, bin) of the windows."""
+        at = batch.column("__bin").to_numpy().astype(np.int64)
+        for ids, rows in words.windows(batch.column("seq")):
+            yield ids, rows, at[rows]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(k, alphabet)
+        n = np.zeros(words.count * stride, np.int64)
+        for batch in batches:
+            for ids, _, at in cells(words, batch):
+                n += np.bincount(ids * stride + at, minlength=len(n))
+        if not forward_only:
+            n = (n.reshape(-1, stride) + n.reshape(-1, stride)[words.turned()]).ravel()
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], ["cell", "n"])
+
+    histogram = given.select("seq", "__bin").mapInArrow(tally, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    words = Words(k, alphabet)
+    n = np.zeros(words.count * stride, np.int64)
+    n[histogram["cell"].to_numpy()] = histogram["n"].to_numpy()
+    upto = n.reshape(-1, stride).cumsum(1)
+    seen = np.flatnonzero(upto[:, -1])
+    lower, upper = (upto[seen, -1] - 1) // 2, upto[seen, -1] // 2
+    bin_of = lambda rank: (upto[seen] <= rank[:, None]).sum(1)
+    first_bin, last_bin = bin_of(lower), bin_of(upper)
+    before = np.where(first_bin > 0, upto[seen, first_bin - 1], 0)
+    wanted = np.zeros(len(n), bool)
+    wanted[seen * stride + first_bin] = wanted[seen * stride + last_bin] = True
+    ranks = spark.createDataFrame(pa.table({"kmer_id": seen, "__from": before, "__lo": lower, "__hi": upper}))
+    packed = np.packbits(wanted)
+
+    def middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(k, alphabet)
+        wanted = np.unpackbits(packed, count=words.count * stride).astype(bool)
+        turned = words.turned()
+        either = wanted if forward_only else (wanted.reshape(-1, stride) | wanted.reshape(-1, stride)[turned]).ravel()
+        for batch in batches:
+            values = batch.column("__v").to_numpy()
+            for ids, rows, at in cells(words, batch):
+                some = np.flatnonzero(either[ids * stride + at])
+                ids, x, at = ids[some], values[rows[some]], at[some]
+                if not forward_only:
+                    ids, x, at = np.concatenate([ids, turned[ids]]), np.tile(x, 2), np.tile(at, 2)
+                    some = wanted[ids * stride + at]
+                    ids, x = ids[some], x[some]
+                order = np.lexsort((x, ids))
+                ids, x = ids[order], x[order]
+                new = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (x[1:] != x[:-1])])[: len(ids)])
+                yield pa.RecordBatch.from_arrays([pa.array(y) for y in (ids[new], x[new], np.diff(new, append=len(ids)))], ["kmer_id", "__v", "n"])
+
+    counted = given.mapInArrow(middle, "kmer_id bigint, __v double, n bigint").groupBy("kmer_id", "__v").agg(F.sum("n").alias("n")).join(ranks, "kmer_id")
+    reached = counted.withColumn("__to", F.col("__from") + F.sum("n").over(Window.partitionBy("kmer_id").orderBy("__v")))
     first = lambda rank: F.min(F.when(F.col("__to") > F.col(rank), F.col("__v")))
-    medians = reached.groupBy("kmer").agg(first("__lo").alias("__a"), first("__hi").alias("__b"))
+    medians = reached.groupBy("kmer_id").agg(first("__lo").alias("__a"), first("__hi").alias("__b"))
     median = F.when(F.col("__a") == F.col("__b"), F.col("__a")).otherwise(F.col("__a") / 2 + F.col("__b") / 2)
-    return kmer_universe(df.sparkSession, k, alphabet).select("kmer").join(medians, "kmer", "left").select("kmer", median.alias("median"))
+    return every.join(medians, "kmer_id", "left").select("kmer", median.alias("median"))
 
 
 def position_letter_count(df: DataFrame, alphabet: Alphabet = DNA, seq: str = "seq", weight: str | None = None) -> DataFrame:
