@@ -1,7 +1,7 @@
 """k-mer and positional tabulations.
 
-Windows are exploded and summed per k-mer with partial aggregation before the shuffle; the other strand is added
-afterwards, on one row per k-mer. For medians a vectorised Arrow kernel counts them, and most never become rows."""
+Windows never become rows where all k-mers are written out: a vectorised Arrow kernel sums them per k-mer within each
+task, adds the other strand to these sums, and only the sums are shuffled."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,25 +54,66 @@ def _both_strands(sums: DataFrame, alphabet: Alphabet, forward_only: bool) -> Da
     return sums.unionByName(turned).groupBy("kmer").agg(*(F.sum(c).alias(c) for c in rest))
 
 
+def _sums(df: DataFrame, k: int, alphabet: Alphabet, seq: str, forward_only: bool, values: list[str]) -> DataFrame:
+    """(kmer_id, __n, sums of the value columns) of the k-mers that occur; a sum of no value is 0."""
+    given = df.select(F.col(seq).cast("string").alias("seq"), *(F.col(v).alias(f"v{i}") for i, v in enumerate(values)))
+    kinds = [t for _, t in given.dtypes[1:]]
+    if not set(kinds) <= {"tinyint", "smallint", "int", "bigint", "float", "double"}:
+        # decimals and others are summed by Spark, window by window
+        sums = windows(given, k, alphabet, "seq", given.columns[1:]).groupBy("kmer").agg(F.count("*").alias("__n"), *(F.sum(f"v{i}").alias(v) for i, v in enumerate(values)))
+        sums = _both_strands(sums, alphabet, forward_only)
+        return kmer_universe(df.sparkSession, k, alphabet).join(sums, "kmer").select("kmer_id", "__n", *values)
+    real = [t in ("float", "double") for t in kinds]
+    given = given.select("seq", *(F.col(f"v{i}").cast("double" if r else "bigint").alias(f"v{i}") for i, r in enumerate(real)))
+    # an integer's upper and lower 32 bits are summed apart, as doubles hold only 53
+    columns = [c for i, r in enumerate(real) for c in ([f"v{i}"] if r else [f"h{i}", f"l{i}"])]
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(k, alphabet)
+        n = np.zeros(words.count, np.int64)
+        sums = {c: np.zeros(words.count, np.float64 if c[0] == "v" else np.int64) for c in columns}
+        for batch in batches:
+            weights = {}
+            for i, r in enumerate(real):
+                x = pc.fill_null(batch.column(i + 1), 0).to_numpy(zero_copy_only=False)
+                weights |= {f"v{i}": x} if r else {f"h{i}": x >> 32, f"l{i}": x & 0xFFFFFFFF}
+            for ids, rows in words.windows(batch.column(0)):
+                n += np.bincount(ids, minlength=words.count)
+                for c, x in weights.items():
+                    if c[0] == "v" or x.any():
+                        sums[c] += np.bincount(ids, x[rows], words.count).astype(sums[c].dtype)
+        if not forward_only:  # a palindrome counts twice
+            turned = words.turned()
+            n, sums = n + n[turned], {c: x + x[turned] for c, x in sums.items()}
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found, n[found], *(sums[c][found] for c in columns))], ["kmer_id", "__n", *columns])
+
+    each = given.mapInArrow(tally, ", ".join(["kmer_id bigint", "__n bigint", *(f"{c} {'double' if c[0] == 'v' else 'bigint'}" for c in columns)]))
+    total = each.groupBy("kmer_id").agg(*(F.sum(c).alias(c) for c in ["__n", *columns]))
+    whole = lambda i: (F.col(f"h{i}").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col(f"l{i}")).cast("bigint")
+    return total.select("kmer_id", "__n", *((F.col(f"v{i}") if r else whole(i)).alias(v) for i, (v, r) in enumerate(zip(values, real, strict=True))))
+
+
 def kmer_count(df: DataFrame, k: int = 8, forward_only: bool = False, alphabet: Alphabet = DNA, seq: str = "seq", values: list[str] | None = None, sparse: bool = False) -> DataFrame:
     """How often each k-mer occurs (column n), or the sums of the value columns over its occurrences.
     Without sparse, all k-mers are rows, zeros included."""
-    found = windows(df, k, alphabet, seq, values).groupBy("kmer")
-    sums = found.agg(*(F.sum(v).alias(v) for v in values)) if values else found.agg(F.count("*").alias("n"))
-    sums = _both_strands(sums, alphabet, forward_only)
     if sparse:
-        return sums
-    every = kmer_universe(df.sparkSession, k, alphabet).select("kmer")
-    return every.join(sums, "kmer", "left").select("kmer", *(F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in sums.dtypes if c != "kmer"))
+        found = windows(df, k, alphabet, seq, values).groupBy("kmer")
+        sums = found.agg(*(F.sum(v).alias(v) for v in values)) if values else found.agg(F.count("*").alias("n"))
+        return _both_strands(sums, alphabet, forward_only)
+    every = kmer_universe(df.sparkSession, k, alphabet).select("kmer_id", "kmer")
+    sums = _sums(df, k, alphabet, seq, forward_only, values or [])
+    sums = sums.drop("__n") if values else sums.withColumnRenamed("__n", "n")
+    return every.join(sums, "kmer_id", "left").select("kmer", *(F.coalesce(c, F.lit(0)).cast(t).alias(c) for c, t in sums.dtypes if c != "kmer_id"))
 
 
 def kmer_average(df: DataFrame, k: int = 8, forward_only: bool = False, pseudocount: float = 0.0, alphabet: Alphabet = DNA, seq: str = "seq", values: list[str] | None = None) -> DataFrame:
     """Mean of each value column over a k-mer's occurrences, drawn to the overall mean by the pseudocount; NaN without any."""
     values = values or []
-    sums = windows(df, k, alphabet, seq, values).groupBy("kmer").agg(F.count("*").alias("__n"), *(F.sum(v).alias(v) for v in values))
-    sums = _both_strands(sums, alphabet, forward_only)
-    overall = sums.agg(F.sum("__n").alias("__total"), *(F.sum(v).alias(f"__all_{v}") for v in values))
-    every = kmer_universe(df.sparkSession, k, alphabet).select("kmer").join(sums, "kmer", "left").crossJoin(F.broadcast(overall))  # one row
+    every = kmer_universe(df.sparkSession, k, alphabet).select("kmer_id", "kmer").join(_sums(df, k, alphabet, seq, forward_only, values), "kmer_id", "left")
+    # the overall sums come from the same rows, so that the sequences are read once
+    overall = Window.partitionBy()
+    every = every.withColumns({"__total": F.sum("__n").over(overall)} | {f"__all_{v}": F.sum(v).over(overall) for v in values})
     n = F.coalesce("__n", F.lit(0)) + F.lit(float(pseudocount))
     mean = lambda v: F.when(n == 0, F.lit(float("nan"))).otherwise(F.try_divide(F.coalesce(v, F.lit(0.0)) + F.lit(float(pseudocount)) * F.try_divide(F.col(f"__all_{v}"), F.col("__total")), n))
     return every.select("kmer", *(F.coalesce(mean(v), F.lit(float("nan"))).alias(v) for v in values))
